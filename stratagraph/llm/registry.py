@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
     "op1_sum_of_squares_packing": "packing",
+    "op2_ngram_quality_rules": "quality_rules",
     "op3_token_id_index": "binary_index",
+    "op4_fourier_kernel_quality": "kernel_quality",
     "op5_weighted_near_duplicates": "neardup",
     "op6_edit_aware_counts": "edit_counts",
     "op7_benchmark_matches": "decontamination",
     "op8_prefix_sum_sharding": "sharding",
+    "op9_induced_toxicity": "toxicity",
 }
 
 

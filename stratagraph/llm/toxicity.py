@@ -1,11 +1,13 @@
 """Operator 9, toxicity: a lexicon induced from labelled seed terms by random walks over a word graph.
 
-Seeds are the words whose labelled document counts lean most clearly to toxic or to clean (z-score of the log odds).
-Nodes are the words that at least ``MIN_SUPPORT`` labelled toxic documents have, but no words that a large share of all
-labelled documents have. Edges carry the positive pointwise mutual information of a node and a seed within ``SPAN``
-words, counted over the whole corpus. Two walks with restart, from the toxic and from the clean seeds, give each node
-two masses; its polarity weight is the logarithm of their ratio, each with the mean mass added. A document's score is
-the sum of the positive weights of its words; from ``THRESHOLD`` on it is toxic.
+Labelled documents that are near copies of each other (equal bands of MinHash values of their word sets) form a family;
+a document counts as one part of its family, so that a text copied a thousand times is one witness. Seeds are the words
+whose counts in labelled toxic and clean families differ most clearly (likelihood ratio). Nodes are the seeds and the
+words of at least ``MIN_SUPPORT`` toxic families that lean to toxic. Edges carry the positive pointwise mutual
+information, less ``SHIFT``, of a node and a seed within ``SPAN`` words, counted over the whole corpus. Two walks with
+restart, from the toxic and from the clean seeds, give each node two masses; its polarity weight is their difference over
+their sum (a toxic seed keeps the weight 1 that its labels give it). A document's score is the sum of the weights of its words that have at least ``MIN_WEIGHT``, less
+``BACKGROUND`` times what labelled clean texts have per word; from ``THRESHOLD`` on it is toxic.
 
 Seeds and nodes are chosen on at most ``MAX_LABELLED`` labelled documents (in a fixed pseudo-random order); counts and
 scores cover all documents, in one pass each.
@@ -25,16 +27,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.llm import base
-from stratagraph.llm.textbytes import owner, row_sums, windows, words
+from stratagraph.llm.textbytes import BASE, distinct_per_row, mix, row_sums, windows, words
 
 MAX_LABELLED = 20_000
-MIN_SUPPORT = 4
+FAMILY_BANDS, FAMILY_ROWS = 6, 5
+MIN_SUPPORT = 2.0
 MAX_SHARE = 0.2
-SEED_Z = 4.0
+SEED_SUPPORT = 3.0
+SEED_RATIO = 18.0
 SPAN = 12
 MIN_JOINT = 3
+SHIFT = 2.0
 WALK = 0.85
-THRESHOLD = 3.0
+MIN_WEIGHT = 0.5
+BACKGROUND = 3.0
+THRESHOLD = 1.5
 U = np.uint64
 BITS = 22
 
@@ -58,45 +65,93 @@ class Lookup:
         return out
 
 
-def labelled_counts(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Word hashes, (toxic, clean) labelled document counts of the words that may become nodes or seeds, and the numbers of toxic and clean labelled documents."""
+@dataclass
+class Labelled:
+    """The distinct words of labelled documents, how often each has them, and the documents' classes."""
+
+    words: np.ndarray
+    times: np.ndarray
+    first: np.ndarray
+    toxic: np.ndarray
+    share: np.ndarray  # one over the size of the document's family
+
+    def sums(self, toxic: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending words and in how many toxic or clean families they are."""
+        part = np.where(self.toxic == toxic, self.share, 0.0)
+        return np.bincount(self.number, np.repeat(part, np.diff(self.first)), minlength=len(self.vocabulary)), part.sum()
+
+    def __post_init__(self) -> None:
+        self.vocabulary, self.number = np.unique(self.words, return_inverse=True)
+
+
+def family_bands(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hashes of bands of MinHash values of each row's words; rows without words: 0."""
+    out = np.zeros((len(first) - 1, FAMILY_BANDS), U)
+    some = np.flatnonzero(np.diff(first))
+    for band in range(FAMILY_BANDS if len(some) else 0):
+        for k in range(FAMILY_ROWS):
+            low = np.minimum.reduceat(mix(h ^ U((band * FAMILY_ROWS + k + 1) * int(BASE) % (1 << 64))), first[some])
+            out[some, band] = mix(out[some, band] * BASE + low)
+    return out
+
+
+def family_sizes(bands: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """The size of each row's family: rows with words that share a band, directly or by way of others."""
+    up = np.arange(len(bands))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for band in bands.T:
+        seen: dict[int, int] = {}
+        for i in np.flatnonzero(some).tolist():
+            p, q = sorted((root(i), root(seen.setdefault(int(band[i]), i))))
+            up[q] = p
+    top = np.array([root(i) for i in range(len(up))], np.int64)
+    return np.bincount(top, minlength=len(up))[top]
+
+
+def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Labelled:
+    """The labelled sample; its bound makes the labels fit for a broadcast and the words for the driver."""
     small = base.id_and_text(docs)
-    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = marks.orderBy(base.sample_order("doc_id"), "doc_id").limit(most)  # the bound makes it fit for a broadcast
-    text = small.join(F.broadcast(some), "doc_id").select("text", "toxic")
+    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    some = marks.orderBy(base.sample_order("doc_id"), "doc_id").limit(most)
 
     def count(batches):
         for b in batches:
-            y = b.column(1).to_numpy(zero_copy_only=False) > 0
-            for r0, r1, data, off in windows(b.column(0), 8 << 20):
+            cols: list[list] = [[], [], []]
+            for _, _, data, off in windows(b.column(1)):
                 _, _, h, first = words(data, off)
-                row = owner(first)
-                order = np.lexsort((row, h))
-                h, row = h[order], row[order]
-                new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])) if len(h) else np.zeros(0, bool)
-                h, toxic = h[new], y[r0:r1][row[new]]
-                u, at = np.unique(h, return_index=True)
-                total = np.diff(np.append(at, len(h)))
-                bad = np.add.reduceat(toxic.astype(np.int64), at) if len(at) else total
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(bad), pa.array(total - bad)], ["h", "bad", "good"])
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([int(y.sum())], pa.int64()), pa.array([int((~y).sum())], pa.int64())], ["h", "bad", "good"])
-
-    sums = text.mapInArrow(count, "h bigint, bad bigint, good bigint").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    total = base.kept(sums)
-    n = total.where("h is null").select("bad", "good").first()
-    n_bad, n_good = (n[0], n[1]) if n else (0, 0)
-    at = total.where("h is not null").where((F.col("bad") >= MIN_SUPPORT) | (F.col("good") >= MAX_SHARE / 10 * max(1, n_good))).toPandas()
-    return at["h"].to_numpy(np.int64).view(U), at[["bad", "good"]].to_numpy(np.int64), n_bad, n_good
-
-
-def log_odds_z(counts: np.ndarray, n_bad: int, n_good: int) -> np.ndarray:
-    a, b = counts[:, 0] + 0.5, counts[:, 1] + 0.5
-    c, d = n_bad + 1 - a, n_good + 1 - b
-    return (np.log(a / c) - np.log(b / d)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-
-
-def cooccurrences(docs: DataFrame, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Over all texts: how often seed and node stand within SPAN words (seeds x nodes), and how often each node occurs. nodes: ascending hashes; seeds: their numbers."""
+                u, times, at = distinct_per_row(h, first)
+                bands = family_bands(u, at)
+                cols[0] += [u[p:q].tobytes() for p, q in zip(at[:-1], at[1:])]
+                cols[1] += [times[p:q].astype("<i4").tobytes() for p, q in zip(at[:-1], at[1:])]
+                cols[2] += [x.tobytes() for x in bands]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(2), *(pa.array(c, pa.binary()) for c in cols)], ["id", "toxic", "words", "times", "bands"])
+
+    got = small.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").mapInArrow(count, "id string, toxic int, words binary, times binary, bands binary").toArrow()
+    got = got.sort_by([("id", "ascending"), ("words", "ascending")])
+    h = [np.frombuffer(x, U) for x in got.column("words").to_pylist()]
+    times = [np.frombuffer(x, "<i4") for x in got.column("times").to_pylist()]
+    bands = np.array([np.frombuffer(x, U) for x in got.column("bands").to_pylist()], U).reshape(-1, FAMILY_BANDS)
+    n = np.array([len(x) for x in h], np.int64)
+    size = family_sizes(bands, n > 0)
+    return Labelled(np.concatenate([np.zeros(0, U), *h]), np.concatenate([np.zeros(0, "<i4"), *times]), np.concatenate([[0], np.cumsum(n)]).astype(np.int64), got.column("toxic").to_numpy() > 0, 1 / np.maximum(1, size))
+
+
+def lean(bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float) -> np.ndarray:
+    """Signed likelihood ratio of each word's counts against the share of toxic families."""
+    n, p0 = bad + good, n_bad / max(1e-9, n_bad + n_good)
+    p = bad / np.maximum(n, 1e-9)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (np.where(bad > 0, bad * np.log(p / p0), 0) + np.where(good > 0, good * np.log((1 - p) / (1 - p0)), 0))
+    return np.where(p >= p0, g, -g)
+
+
+def cooccurrences(docs: DataFrame, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Over all texts: how often seed and node stand within SPAN words (seeds x nodes), how often each node occurs, and the number of words. nodes: ascending hashes; seeds: their numbers."""
     small, v = base.id_and_text(docs), len(nodes)
     seed_of = np.full(v + 1, -1, np.int64)
     seed_of[seeds] = np.arange(len(seeds))
@@ -104,12 +159,12 @@ def cooccurrences(docs: DataFrame, nodes: np.ndarray, seeds: np.ndarray) -> tupl
 
     def count(batches):
         hashes, seed = shared.value
-        find, joint, own = Lookup(hashes), [], np.zeros(v, np.int64)
+        find, joint, own = Lookup(hashes), [], np.zeros(v + 1, np.int64)
         for b in batches:
             for _, _, data, off in windows(b.column(0)):
                 _, _, h, first = words(data, off)
                 node = find(h)
-                own += np.bincount(node[node >= 0], minlength=v)
+                own += np.append(np.bincount(node[node >= 0], minlength=v), len(h))
                 s = seed[node]
                 at = np.flatnonzero(s >= 0)
                 row = np.searchsorted(first, at, "right") - 1
@@ -131,19 +186,18 @@ def cooccurrences(docs: DataFrame, nodes: np.ndarray, seeds: np.ndarray) -> tupl
 
     rows = small.select("text").mapInArrow(count, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")).toPandas()
     k, c = rows["k"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
-    joint, own = np.zeros(len(seeds) * v), np.zeros(v)
+    joint, own = np.zeros(len(seeds) * v), np.zeros(v + 1)
     joint[k[k >= 0]] = c[k >= 0]
     own[-1 - k[k < 0]] = c[k < 0]
-    return joint.reshape(len(seeds), v), own
+    return joint.reshape(len(seeds), v), own[:v], float(own[v])
 
 
-def ppmi(joint: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Positive pointwise mutual information, with the context distribution smoothed by a power of 3/4."""
-    p = own**0.75
-    expected = joint.sum(axis=1, keepdims=True) * (p / max(p.sum(), 1e-9))
+def ppmi(joint: np.ndarray, own: np.ndarray, seeds: np.ndarray, n_words: float) -> np.ndarray:
+    """Positive pointwise mutual information of seeds and nodes, less SHIFT."""
+    expected = own[seeds][:, None] * (2 * SPAN) * (own / max(1.0, n_words))
     with np.errstate(divide="ignore", invalid="ignore"):
         x = np.log(joint / expected)
-    return np.where((joint >= MIN_JOINT) & (x > 0), x, 0.0)
+    return np.where((joint >= MIN_JOINT) & (x > SHIFT), x - SHIFT, 0.0)
 
 
 def walk(m: np.ndarray, seeds: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -168,41 +222,54 @@ def walk(m: np.ndarray, seeds: np.ndarray, start: np.ndarray) -> np.ndarray:
     return p
 
 
-def lexicon(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending word hashes and their polarity weights, positive ones only."""
-    h, counts, n_bad, n_good = labelled_counts(docs, labels, most)
-    order = np.argsort(h)
-    h, counts = h[order], counts[order]
-    z = log_odds_z(counts, n_bad, n_good) if len(h) else np.zeros(0)
-    share = counts.sum(axis=1) / max(1, n_bad + n_good)
-    bad = (z >= SEED_Z) & (counts[:, 0] >= MIN_SUPPORT) & (share <= MAX_SHARE)
-    if not bad.any():
-        return np.zeros(0, U), np.zeros(0)
-    clean = np.zeros(len(h), bool)
-    clean[[k for k in np.argsort(z, kind="stable").tolist() if z[k] < 0][: max(10, int(bad.sum()))]] = True
-    node = bad | clean | ((counts[:, 0] >= MIN_SUPPORT) & (share <= MAX_SHARE))
-    h, bad, clean = h[node], bad[node], clean[node]
-    seeds = np.flatnonzero(bad | clean)
-    joint, own = cooccurrences(docs, h, seeds)
-    m = ppmi(joint, own)
-    toxic, good = walk(m, seeds, np.flatnonzero(bad)), walk(m, seeds, np.flatnonzero(clean))
-    weight = np.log((toxic + 1 / len(h)) / (good + 1 / len(h)))
-    some = weight > 0
-    return h[some], weight[some]
-
-
-def score_column(docs: DataFrame, keys: np.ndarray, weights: np.ndarray):
+@dataclass
+class Lexicon:
+    keys: np.ndarray  # ascending word hashes
+    weights: np.ndarray
+    background: float = 0.0  # taken off per word
+
+    def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        _, _, h, first = words(data, off)
+        return row_sums(np.append(self.weights, 0.0)[self.find(h)], first) - self.background * np.diff(first)
+
+    def __post_init__(self) -> None:
+        self.find = Lookup(self.keys)
+
+
+def lexicon(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Lexicon:
+    some = labelled(docs, labels, most)
+    (bad_in, n_bad), (good_in, n_good) = some.sums(True), some.sums(False)
+    g = lean(bad_in, good_in, n_bad, n_good)
+    rare = bad_in + good_in <= MAX_SHARE * (n_bad + n_good)
+    toxic = rare & (g >= SEED_RATIO) & (bad_in >= SEED_SUPPORT) & (bad_in > good_in)
+    if not toxic.any():
+        return Lexicon(np.zeros(0, U), np.zeros(0))
+    clean = np.zeros(len(g), bool)
+    clean[[k for k in np.argsort(g, kind="stable")[: max(10, int(toxic.sum()))].tolist() if g[k] < 0]] = True
+    node = toxic | clean | (rare & (bad_in >= MIN_SUPPORT) & (bad_in > good_in))
+    h, toxic, clean = some.vocabulary[node], toxic[node], clean[node]
+    seeds = np.flatnonzero(toxic | clean)
+    joint, own, n_words = cooccurrences(docs, h, seeds)
+    m = ppmi(joint, own, seeds, n_words)
+    bad, good = walk(m, seeds, np.flatnonzero(toxic)), walk(m, seeds, np.flatnonzero(clean))
+    weight = np.where(toxic, 1.0, (bad - good) / (bad + good + 0.05 / len(h)))
+    strong = (weight >= MIN_WEIGHT) & ~clean
+    keys, weight = h[strong], weight[strong]
+    at = Lookup(keys)(some.words)
+    own = np.repeat(np.where(some.toxic, 0.0, some.share), np.diff(some.first)) * some.times
+    return Lexicon(keys, weight, BACKGROUND * float((own * np.append(weight, 0.0)[at]).sum() / max(1.0, own.sum())))
+
+
+def score_column(spark: SparkSession, own: Lexicon):
     """A column function: the toxicity score of a text."""
-    shared = docs.sparkSession.sparkContext.broadcast((keys, weights))
+    shared = spark.sparkContext.broadcast(own)
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        keys, weights = shared.value
-        find, padded, out = Lookup(keys), np.append(weights, 0.0), np.zeros(len(text))
+        out = np.zeros(len(text))
         for a, b, data, off in windows(text):
-            _, _, h, first = words(data, off)
-            out[a:b] = row_sums(padded[find(h)], first)
-        return pa.array(np.round(out, 6))
+            out[a:b] = shared.value.score(data, off)
+        return pa.array(np.round(out, 6) + 0.0)
 
     return score
 
@@ -210,13 +277,13 @@ def score_column(docs: DataFrame, keys: np.ndarray, weights: np.ndarray):
 def scores(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, toxic), one row per input row."""
     small = base.id_and_text(docs)
-    score = score_column(small, *lexicon(docs, labels, most))
+    score = score_column(small.sparkSession, lexicon(docs, labels, most))
     return small.select("doc_id", score("text").alias("score")).withColumn("toxic", F.col("score") >= threshold)
 
 
 def reject(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that are not toxic, with all their columns."""
-    score = score_column(docs, *lexicon(docs, labels, most))
+    score = score_column(docs.sparkSession, lexicon(docs, labels, most))
     return docs.where(score(docs["text"].cast("string")) < threshold)
 
 
