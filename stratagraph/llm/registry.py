@@ -17,6 +17,7 @@ MODULES = {
     "op7_benchmark_matches": "decontamination",
     "op8_prefix_sum_sharding": "sharding",
     "op9_induced_toxicity": "toxicity",
+    "op10_licence_paragraphs": "license_scan",
 }
 
 
