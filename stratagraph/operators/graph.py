@@ -38,7 +38,7 @@ def build_nodes(components: DataFrame, dependencies: DataFrame) -> DataFrame:
 
 
 def with_external(nodes: DataFrame, components: DataFrame, project_root: str | None = None, mode: str = "cli") -> DataFrame:
-    """Adds is_external. mode "cli": ends that match no source folder, by equal suffixes or two equal neighbouring segments, found with equi-joins on keys; mode "pipeline": no end is external, but every one is cross-cutting."""
+    """Adds is_external. mode "cli": ends that match no source folder: none is a suffix of their path, and no two neighbouring segments of one are in it; both are equi-joins on substrings of the distinct paths, whose number follows the paths' lengths; mode "pipeline": no end is external, but every one is cross-cutting."""
     synthetic = F.col("kind").isNull()
     if mode == "pipeline":
         return nodes.withColumn("is_external", F.lit(False)).withColumn("is_cross_cutting", F.col("is_cross_cutting") | synthetic)
@@ -47,16 +47,20 @@ def with_external(nodes: DataFrame, components: DataFrame, project_root: str | N
     ends = nodes.where(synthetic).select("repo", "node_id", path.alias("path"))
     own = ends.where(F.col("path").startswith(".") | F.col("path").startswith("crate") | (F.col("path").startswith(project_root) if project_root else F.lit(False)))
     distinct = ends.select("repo", "path").distinct()
-    parts = F.split(F.col("path"), "/")
-    whole = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat_ws("/", F.slice(parts, k, F.size(parts))))
-    by_suffix = distinct.withColumn("dir", F.explode(whole)).join(dirs, ["repo", "dir"], "left_semi")
-
-    def pairs(x):
-        p = F.split(x, "/")
-        return F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda k: F.concat_ws("/", F.slice(p, k, 2)))).otherwise(F.array().cast("array<string>"))
-
-    dir_pairs = dirs.select("repo", F.explode(pairs(F.col("dir"))).alias("pair")).distinct()
-    by_pair = distinct.withColumn("pair", F.explode(pairs(F.translate("path", ".", "/")))).join(dir_pairs, ["repo", "pair"], "left_semi")
+    n = F.length("path")
+    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.substring(F.col("path"), k, n))
+    by_suffix = distinct.withColumn("dir", F.explode(suffixes)).join(dirs, ["repo", "dir"], "left_semi")
+    parts = F.split("dir", "/")
+    pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.concat_ws("/", F.slice(parts, k, 2)))
+    dir_pairs = dirs.where(F.size(parts) > 1).select("repo", F.explode(pairs).alias("pair")).distinct()
+    # a pair is inside a path if it ends the text before a slash and begins the text after it
+    own_parts = F.split(F.translate("path", ".", "/"), "/")
+    around = distinct.withColumn("p", own_parts).where(F.size("p") > 1).select("repo", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda k: F.slice(F.col("p"), k, 2))).alias("w"))
+    left, right = F.col("w")[0], F.col("w")[1]
+    ends_left = F.transform(F.sequence(F.lit(1), F.length(left) + 1), lambda k: F.substring(left, k, F.length(left)))
+    starts_right = F.transform(F.sequence(F.lit(0), F.length(right)), lambda k: F.substring(right, F.lit(1), k))
+    inner = around.select("repo", "path", F.explode(ends_left).alias("a"), starts_right.alias("bs")).select("repo", "path", F.explode(F.transform("bs", lambda x: F.concat_ws("/", F.col("a"), x))).alias("pair"))
+    by_pair = inner.join(dir_pairs, ["repo", "pair"], "left_semi")
     inside = by_suffix.select("repo", "path").union(by_pair.select("repo", "path")).distinct()
     known = ends.join(inside, ["repo", "path"], "left_semi").select("repo", "node_id").union(own.select("repo", "node_id")).distinct().withColumn("_in", F.lit(True))
     return nodes.join(known, ["repo", "node_id"], "left").withColumn("is_external", synthetic & F.col("_in").isNull()).drop("_in")
@@ -73,12 +77,21 @@ def build_edges(dependencies: DataFrame, nodes: DataFrame) -> DataFrame:
     return base.join(end("src", "from_id"), ["repo", "from_id"]).join(end("tgt", "to_id"), ["repo", "to_id"])
 
 
+def import_targets(dependencies: DataFrame, packages: DataFrame) -> DataFrame:
+    """(repo, package, to_package): the package, the first by name, that each import of a known package means. Last segments must be equal, and the ones before them where both have one: three equi-joins. packages: (repo, package)."""
+    keys = packages.select("repo", F.col("package").alias("to_package"), C.last_segment(F.col("package")).alias("k1"), C.segment_before_last(F.col("package")).alias("k2")).where("k1 <> ''")
+    dep = dependencies.where("import_path is not null").select("repo", C.package_of(F.col("from_id")).alias("package"), C.last_segment(F.col("import_path")).alias("k1"), C.segment_before_last(F.col("import_path")).alias("k2")).distinct()
+    known = dep.join(packages.select("repo", "package"), ["repo", "package"], "left_semi")
+    full = known.join(keys, ["repo", "k1", "k2"]).select("repo", "package", "k1", "k2", "to_package")
+    short_import = known.where("k2 is null").join(keys.drop("k2"), ["repo", "k1"]).select("repo", "package", "k1", F.lit(None).cast("string").alias("k2"), "to_package")
+    short_package = known.where("k2 is not null").join(keys.where("k2 is null").drop("k2"), ["repo", "k1"]).select("repo", "package", "k1", "k2", "to_package")
+    return full.union(short_import).union(short_package).groupBy("repo", "package", "k1", "k2").agg(F.min("to_package").alias("to_package")).select("repo", "package", "to_package")
+
+
 def package_edges(dependencies: DataFrame, components: DataFrame) -> DataFrame:
-    """(repo, a, b): packages of one repo that import each other, matched on the last two segments of the import."""
-    package = components.select("repo", "package").distinct()
-    key = package.select("repo", F.col("package").alias("b"), C.last_segment(F.col("package")).alias("k1"), C.segment_before_last(F.col("package")).alias("k2"))
-    dep = dependencies.where("import_path is not null").select("repo", C.package_of(F.col("from_id")).alias("a"), C.last_segment(F.col("import_path")).alias("k1"), C.segment_before_last(F.col("import_path")).alias("k2")).distinct()
-    return dep.join(key, ["repo", "k1", "k2"]).where("a <> b").select("repo", "a", "b").distinct()
+    """(repo, a, b): packages of one repo of which one imports the other."""
+    found = import_targets(dependencies, components.select("repo", "package").distinct())
+    return found.where("package <> to_package").select("repo", F.col("package").alias("a"), F.col("to_package").alias("b")).distinct()
 
 
 def reachable(edges: DataFrame) -> DataFrame:

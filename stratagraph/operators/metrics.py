@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.config import LAYERS, Config
 from stratagraph.functions import classify as C
+from stratagraph.operators.graph import import_targets
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -41,15 +42,7 @@ def package_metrics(components: DataFrame, dependencies: DataFrame) -> DataFrame
 def package_conformance(components: DataFrame, dependencies: DataFrame) -> DataFrame:
     """(repo, package, layer, abstractness, instability, conformance) per package with a layer; imports couple by their last two segments."""
     own = components.where("package <> ''").groupBy("repo", "package").agg(F.count("*").alias("nc"), F.count_if(F.col("kind") == "port").alias("na"), F.min_by("layer", F.when(F.col("layer").isNotNull(), F.col("seq"))).alias("layer"))
-    keys = own.select("repo", F.col("package").alias("to_package"), C.last_segment(F.col("package")).alias("k1"), C.segment_before_last(F.col("package")).alias("k2"))
-    dep = dependencies.where("import_path is not null").select("repo", C.package_of(F.col("from_id")).alias("package"), C.last_segment(F.col("import_path")).alias("k1"), C.segment_before_last(F.col("import_path")).alias("k2")).distinct()
-    known = dep.join(own.select("repo", "package"), ["repo", "package"], "left_semi")
-    # either both have a segment before the last and these are equal, or one of them has none
-    full = known.join(keys, ["repo", "k1", "k2"]).select("repo", "package", "k1", "k2", "to_package")
-    short_import = known.where("k2 is null").join(keys.drop("k2"), ["repo", "k1"]).select("repo", "package", "k1", F.lit(None).cast("string").alias("k2"), "to_package")
-    short_package = known.where("k2 is not null").join(keys.where("k2 is null").drop("k2"), ["repo", "k1"]).select("repo", "package", "k1", "k2", "to_package")
-    target = full.union(short_import).union(short_package).groupBy("repo", "package", "k1", "k2").agg(F.min("to_package").alias("to_package"))
-    pairs = target.where("package <> to_package").select("repo", "package", "to_package").distinct()
+    pairs = import_targets(dependencies, own.select("repo", "package")).where("package <> to_package").distinct()
     both = own.where("layer is not null").join(_ends(pairs, "package", "to_package").withColumnRenamed("p", "package"), ["repo", "package"], "left").na.fill(0, ["ce", "ca"])
     a, i = _share(F.col("na"), F.col("nc")), F.when(F.col("ce") + F.col("ca") > 0, _share(F.col("ce"), F.col("ce") + F.col("ca"))).otherwise(0.0)
     x = y = F.lit(None).cast("double")

@@ -60,7 +60,7 @@ n1 AS (SELECT * FROM n0 QUALIFY row_number() OVER (PARTITION BY repo, node_id OR
 dirs AS (SELECT DISTINCT repo, regexp_replace(file, '/?[^/]*$', '') AS dir FROM c),
 w AS (SELECT DISTINCT repo, list_extract(string_split(dir, '/'), k) || '/' || list_extract(string_split(dir, '/'), k + 1) AS pair FROM (SELECT *, unnest(range(1, len(string_split(dir, '/')))) AS k FROM dirs)),
 paths AS (SELECT DISTINCT repo, node_id, split_part(node_id, '::', 1) AS path FROM n1 WHERE kind IS NULL),
-inside AS (SELECT DISTINCT repo, node_id FROM paths JOIN dirs USING (repo) WHERE ends_with(path, dir) UNION SELECT repo, node_id FROM paths JOIN w USING (repo) WHERE contains('/' || replace(path, '.', '/') || '/', '/' || pair || '/')),
+inside AS (SELECT DISTINCT repo, node_id FROM paths JOIN dirs USING (repo) WHERE ends_with(path, dir) UNION SELECT repo, node_id FROM paths JOIN w USING (repo) WHERE contains(replace(path, '.', '/'), pair)),
 nodes AS (SELECT n1.*, kind IS NULL AND i.node_id IS NULL AS is_external FROM n1 LEFT JOIN inside i ON i.repo = n1.repo AND i.node_id = n1.node_id)"""
 EDGES_ = f"""{NODES_},
 lv AS (SELECT * FROM (VALUES ('domain', 0), ('application', 1), ('infrastructure', 2), ('presentation', 3)) t(layer, depth)),
@@ -346,7 +346,7 @@ def diagnostics_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PE = f"""WITH RECURSIVE {C_}, {D_}, p AS (SELECT DISTINCT repo, package, string_split(package, '/') AS s FROM c),
-pe AS (SELECT DISTINCT d.repo, split_part(from_id, '::', 1) AS a, p.package AS b FROM d JOIN p ON p.repo = d.repo AND p.s[-1] = string_split(import_path, '/')[-1] AND p.s[-2] = string_split(import_path, '/')[-2] WHERE split_part(from_id, '::', 1) <> p.package),
+pe AS (SELECT DISTINCT d.repo, split_part(from_id, '::', 1) AS a, p.package AS b FROM d JOIN p ON p.repo = d.repo AND p.s[-1] = string_split(import_path, '/')[-1] AND p.s[-2] = string_split(import_path, '/')[-2] JOIN p f ON f.repo = d.repo AND f.package = split_part(from_id, '::', 1) WHERE f.package <> p.package),
 r AS (SELECT repo, a, b FROM pe UNION SELECT r.repo, r.a, pe.b FROM r JOIN pe ON pe.repo = r.repo AND pe.a = r.b),
 m AS (SELECT x.repo, x.a, min(least(x.a, x.b)) AS component FROM r x JOIN r y ON y.repo = x.repo AND y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.repo, x.a)"""
 
@@ -552,3 +552,53 @@ def improvements(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = Facts(spark, sf_dir)
     leaks = rules.infrastructure_imports(f.edges, CONFIG)
     return forensics.improvements(f.components, leaks.withColumn("message", F.col("subject"))).select("repo", "ord", "subject")
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Go files made from the components: a file each, with its types, their fields and methods."""
+    c = testmap.components(spark, sf_dir)
+    field = F.array_join(F.transform("fields", lambda f: F.format_string("\t%s %s\n", f["name"], f["type_name"])), "")
+    method = F.array_join(F.transform("methods", lambda m: F.format_string("func (x *%s) %s(n int) error {\n\treturn nil // {\n}\n", F.col("name"), m["name"])), "")
+    body = F.when(F.col("kind") == "port", F.format_string("type %s interface {\n\tFind(id string) error\n}\n", "name")).otherwise(F.concat(F.format_string("type %s struct {\n", "name"), field, F.lit("}\n"), method))
+    one = c.groupBy("repo", "file", "component_id").agg(F.min_by(body, "seq").alias("body"), F.min("seq").alias("seq"))
+    text = F.concat(F.lit("package p\n\nimport (\n\t\"fmt\"\n\t\"github.com/acme/x\"\n)\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "body"))), lambda x: x["body"]), "\n"))
+    return one.groupBy("repo", "file").agg(text.alias("content")).select("repo", F.col("file").alias("path"), F.lit("go").alias("language"), "content")
+
+
+@query(f"""WITH {C_}, o AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY repo, file, component_id ORDER BY seq) = 1),
+g AS (SELECT repo, file, name, layer, kind = 'port' AS port, CASE WHEN kind = 'port' THEN 0 ELSE CAST(has_id AS INTEGER) + CAST(ref_type IS NOT NULL AS INTEGER) END AS n_fields, CASE WHEN kind = 'port' THEN 1 ELSE least(n_methods, 3) END AS n_methods, has_id, ref_type FROM o)
+SELECT repo, file, name, layer, CASE WHEN port THEN 'port' WHEN contains(file, 'infrastructure/') AND {_suffix('repository|repo')} THEN 'repository' WHEN {_suffix('event|' + C.PAST.replace(' ', '|'))} THEN 'domain_event' WHEN {_suffix('repository|repo')} THEN 'repository'
+WHEN {_suffix('service|svc')} THEN 'service' WHEN {_suffix('usecase|interactor')} THEN 'use_case' WHEN layer = 'infrastructure' AND {_suffix('handler|controller')} THEN 'adapter' ELSE {_VALUE} END AS kind, CAST(n_fields AS INTEGER) AS n_fields, CAST(n_methods AS INTEGER) AS n_methods FROM g""")
+def go_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components read back from generated Go text."""
+    from stratagraph.sources import tree
+
+    found = tree.components(tree.facts(_sources(spark, sf_dir)), Config())
+    return found.select("repo", "file", "name", "layer", "kind", F.size("fields").alias("n_fields"), F.size("methods").alias("n_methods"))
+
+
+@query()
+def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON report a repository (K4)."""
+    from stratagraph.plans.analysis import Analysis
+    from stratagraph.reports.render import json_frame
+
+    f = Facts(spark, sf_dir)
+    a = Analysis(f.components, f.dependencies, CONFIG)
+    a.nodes = f.nodes
+    return json_frame(a)
+
+
+@query("SELECT source AS repo, CAST(doc_id AS VARCHAR) AS path, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def streaming_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state that a stream of files ends in: the latest version of every path (streaming form of J11, K13)."""
+    import uuid
+
+    from stratagraph.streaming import incremental
+    from stratagraph.tables import shared_dir
+
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    docs = parquet(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.lit("text").alias("language"), F.coalesce("text", F.lit("")).alias("content"), F.lit(1).cast("bigint").alias("version"))
+    docs.write.parquet(f"{at}/in")
+    incremental.start(incremental.read_files(spark, f"{at}/in"), f"{at}/state", f"{at}/log").awaitTermination()
+    return incremental.current(spark, f"{at}/state").select("repo", "path", "sha256")
