@@ -254,15 +254,14 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The documents without all but one of each group, with all their columns."""
+    """The documents without all but one of each group, with all their columns, which travel as one struct, so that their names are free."""
     stay = base.written(groups(docs, **how).where("keep").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "n_same").distinct(), "stay")
-    th = F.xxhash64(docs["text"].cast("string"))
-    many = stay.where("n_same > 1").limit(1).count() > 0
-    out = docs.join(stay.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(stay["_d"]) & (th == stay["_t"]), "inner" if many else "left_semi")
-    if not many:
-        return out
-    once = out.where("n_same > 1").dropDuplicates(["_d", "_t"]).select(*[docs[c] for c in docs.columns])
-    return out.where("n_same = 1").select(*[docs[c] for c in docs.columns]).unionByName(once)
+    rows = docs.select(docs["doc_id"].alias("_i"), F.xxhash64(docs["text"].cast("string")).alias("_h"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    out = rows.join(stay.hint("shuffle_hash"), rows["_i"].eqNullSafe(stay["_d"]) & (rows["_h"] == stay["_t"]))
+    if not stay.where("n_same > 1").limit(1).count():
+        return out.select("_row.*")
+    once = out.where("n_same > 1").groupBy("_d", "_t").agg(F.first("_row").alias("_row"))
+    return out.where("n_same = 1").select("_row").unionByName(once.select("_row")).select("_row.*")
 
 
 def op5_weighted_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
