@@ -14,6 +14,8 @@ empty table on either side gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +28,7 @@ NGRAM = 10
 BLOCK = 6
 LANE = 1024
 TABLE_BITS = 20
-SHARE = 0.0
+MOST_BYTES = 32 << 20
 U = np.uint64
 
 
@@ -120,50 +122,65 @@ class Patterns:
         return found
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, item_col: str = "item_id") -> DataFrame:
-    """(doc_id, item_id, n_grams, share): for each document and item in it, how many of the item's test strings it has and their share.
+def tables(benchmark: DataFrame, ngram: int = NGRAM, item_col: str = "item_id", most_bytes: int = MOST_BYTES) -> list[Patterns]:
+    """The benchmark's tables, each over whole items of about most_bytes of text, so that what is broadcast at once has a bound; a larger benchmark takes a pass over the texts for each."""
+    out: list[Patterns] = []
+    items: list[tuple[object, str]] = []
+    size = 0
+    for item, text in base.id_and_text(benchmark, item_col).orderBy(F.col("doc_id").asc_nulls_first(), "text").toLocalIterator():
+        if size >= most_bytes and item != items[-1][0]:
+            out.append(Patterns(items, ngram))
+            items, size = [], 0
+        items.append((item, text))
+        size += len((text or "").encode())
+    return [*out, Patterns(items, ngram)]
+
 
-    The benchmark, which does not grow with the corpus, is collected to build the tables; they go out as one broadcast.
-    """
-    spark, small = docs.sparkSession, base.id_and_text(docs)
-    items = [(r[0], r[1]) for r in base.id_and_text(benchmark, item_col).toDF("item_id", "text").collect()]
-    shared = spark.sparkContext.broadcast(Patterns(items, ngram))
+def matches(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, item_col: str = "item_id", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(doc_id, item_id, n_grams, share): for each document and item in it, how many of the item's test strings it has and their share."""
+    small = base.id_and_text(docs)
     kind = benchmark.schema[item_col].dataType.simpleString()
     item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
-    def find(batches):
-        p = shared.value
-        for b in batches:
-            rows, item, n, share = [], [], [], []
-            for first, _, data, off in windows(b.column(1)):
-                hits: dict[tuple[int, object], set] = {}
-                for r, s in p.search(*normal(data, off)):
-                    for i in p.items[s]:
-                        hits.setdefault((first + r, i), set()).add(s)
-                for (r, i), s in hits.items():
-                    rows.append(r)
-                    item.append(i)
-                    n.append(len(s))
-                    share.append(len(s) / p.total[i])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(item, item_type), pa.array(n, pa.int64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "n_grams", "share"])
-
-    return small.mapInArrow(find, f"doc_id {base.id_type(small)}, item_id {kind}, n_grams bigint, share double")
-
-
-def contaminated(benchmark: DataFrame, ngram: int = NGRAM):
-    """A column function: whether a text holds a test string of any item. False for null and empty texts."""
-    items = [(r[0], r[1]) for r in base.id_and_text(benchmark, "item_id").collect()]
-    shared = benchmark.sparkSession.sparkContext.broadcast(Patterns(items, ngram))
-
-    @F.arrow_udf("boolean")
-    def leaks(text: pa.Array) -> pa.Array:
-        out = np.zeros(len(text), bool)
-        for first, _, data, off in windows(text):
-            for r, _s in shared.value.search(*normal(data, off)):
-                out[first + r] = True
-        return pa.array(out)
-
-    return leaks
+    def finder(shared):
+        def find(batches):
+            p = shared.value
+            for b in batches:
+                rows, item, n, share = [], [], [], []
+                for first, _, data, off in windows(b.column(1)):
+                    hits: dict[tuple[int, object], set] = {}
+                    for r, s in p.search(*normal(data, off)):
+                        for i in p.items[s]:
+                            hits.setdefault((first + r, i), set()).add(s)
+                    for (r, i), s in hits.items():
+                        rows.append(r)
+                        item.append(i)
+                        n.append(len(s))
+                        share.append(len(s) / p.total[i])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(item, item_type), pa.array(n, pa.int64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "n_grams", "share"])
+
+        return find
+
+    parts = [small.mapInArrow(finder(docs.sparkSession.sparkContext.broadcast(p)), f"doc_id {base.id_type(small)}, item_id {kind}, n_grams bigint, share double") for p in tables(benchmark, ngram, item_col, most_bytes)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def contaminated(benchmark: DataFrame, ngram: int = NGRAM, most_bytes: int = MOST_BYTES):
+    """A function from a text column to whether it holds a test string of any item. False for null and empty texts."""
+
+    def leaks_of(shared):
+        @F.arrow_udf("boolean")
+        def leaks(text: pa.Array) -> pa.Array:
+            out = np.zeros(len(text), bool)
+            for first, _, data, off in windows(text):
+                for r, _s in shared.value.search(*normal(data, off)):
+                    out[first + r] = True
+            return pa.array(out)
+
+        return leaks
+
+    found = [leaks_of(benchmark.sparkSession.sparkContext.broadcast(p)) for p in tables(benchmark, ngram, most_bytes=most_bytes)]
+    return lambda text: reduce(lambda a, b: a | b, [f(text) for f in found])
 
 
 def op7_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -312,6 +312,15 @@ def test_leaks(spark, odd):
     assert {r.doc_id for r in decontamination.matches(docs, bench).collect()} == {0, 1}
 
 
+def test_a_large_benchmark_in_several_tables(spark, documents):
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    bench = bench.union(bench.where("item_id = 1"))
+    assert len(decontamination.tables(bench, most_bytes=2000)) > 3
+    whole, parts = (rows_of(decontamination.matches(documents, bench, most_bytes=n)) for n in (1 << 20, 2000))
+    leaks = decontamination.contaminated(bench, most_bytes=2000)
+    assert whole == parts and documents.where(leaks("text")).count() == len({r[0] for r in whole[0]})
+
+
 # 8 sharding
 
 
