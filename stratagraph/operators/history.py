@@ -57,3 +57,13 @@ def cache_split(files: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFram
 def cache_prune(state: DataFrame, files: DataFrame) -> DataFrame:
     """State of files that are still there."""
     return state.join(files.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+
+
+def snapshots(summary: DataFrame, violations: DataFrame, timestamp: str, commit: str | None = None, branch: str | None = None) -> DataFrame:
+    """Rows of history from the summaries and violations of analyses, one a repository."""
+    found = violations.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("rule", "severity", "file", "line", "message"))).alias("violations"))
+    none = F.array().cast("array<struct<rule: string, severity: string, file: string, line: bigint, message: string>>")
+    parts = [p.split()[0] for p in SCORE.split(", ")]
+    score = F.when(F.col("overall").isNotNull(), F.struct(*parts))
+    result = F.struct(score.alias("score"), F.coalesce("violations", none).alias("violations"), "component_count", "dependency_count", F.lit(None).cast("bigint").alias("files_analyzed"))
+    return summary.join(found, "repo", "left").select(F.lit(timestamp).alias("timestamp"), F.lit(commit).cast("string").alias("git_commit"), F.lit(branch).cast("string").alias("git_branch"), result.alias("result"))

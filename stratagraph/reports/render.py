@@ -141,3 +141,14 @@ def forensic_markdown(a: Analysis) -> str:
     out += ["## Patterns", "", *_table(["Entity", "Pattern", "Found"], [[r.component_id, r.pattern, "yes" if r.detected else "no"] for r in forensics.domain_patterns(a.components).orderBy("repo", "component_id", "pattern").limit(MOST).collect()])]
     out += ["## Improvements", "", *(f"- {r.subject}: {r.advice}" if r.subject else f"- {r.advice}" for r in a.improvements().orderBy("repo", "ord", "subject").limit(MOST).collect()), ""]
     return "\n".join(out)
+
+
+def services(a: Analysis, total: DataFrame, shared: DataFrame, form: str = "text") -> str:
+    """Scores of each service and of all, and the modules that they share."""
+    rows, t, modules = a.summary.orderBy("repo").collect(), total.first(), shared.orderBy("module").collect()
+    if form == "json":
+        return json.dumps({"services": {r.repo: {"overall": r.overall, "components": r.component_count, "violations": r.violation_count} for r in rows}, "overall": t.overall if t else 100.0, "shared_modules": {m.module: m.used_by for m in modules}}, sort_keys=True) + "\n"
+    table = [[r.repo, _number(r.overall), r.component_count, r.violation_count] for r in rows] + ([["all", _number(t.overall), t.component_count, sum(r.violation_count for r in rows)]] if t else [])
+    if form == "markdown":
+        return "\n".join(["# Services", "", *_table(["Service", "Score", "Nodes", "Violations"], table), "## Shared modules", "", *_table(["Module", "Used by"], [[m.module, ", ".join(m.used_by)] for m in modules])])
+    return "\n".join([*(f"{name}: {score} ({n} nodes, {v} violations)" for name, score, n, v in table), *(f"shared: {m.module} ({', '.join(m.used_by)})" for m in modules)]) + "\n"
