@@ -32,7 +32,7 @@ class Analysis:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return graph.build_edges(self.dependencies, self.nodes)
+        return written(graph.build_edges(self.dependencies, self.nodes), "edges")
 
     @cached_property
     def violations(self) -> DataFrame:
@@ -74,8 +74,7 @@ def of_files(files: DataFrame, config: Config, state: DataFrame | None = None, *
         hits, misses = history.cache_split(hashed, state)
         found = hits.unionByName(tree.facts(misses))
     found = written(found, "facts")
-    out = Analysis(tree.components(found, config), tree.dependencies(found, config), config, found, **how)
-    return out
+    return Analysis(written(tree.components(found, config), "components"), written(tree.dependencies(found, config), "dependencies"), config, found, **how)
 
 
 def of_tree(spark: SparkSession, root: str, repo: str = "repo", config: Config | None = None, **how) -> Analysis:
