@@ -346,7 +346,9 @@ def diagnostics_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PE = f"""WITH RECURSIVE {C_}, {D_}, p AS (SELECT DISTINCT repo, package, string_split(package, '/') AS s FROM c),
-pe AS (SELECT DISTINCT d.repo, split_part(from_id, '::', 1) AS a, p.package AS b FROM d JOIN p ON p.repo = d.repo AND p.s[-1] = string_split(import_path, '/')[-1] AND p.s[-2] = string_split(import_path, '/')[-2] JOIN p f ON f.repo = d.repo AND f.package = split_part(from_id, '::', 1) WHERE f.package <> p.package),
+i AS (SELECT DISTINCT repo, split_part(from_id, '::', 1) AS a, import_path, string_split(import_path, '/') AS s FROM d WHERE import_path IS NOT NULL),
+tg AS (SELECT i.repo, i.a, min(p.package) AS b FROM i JOIN p ON p.repo = i.repo AND p.s[-1] = i.s[-1] AND (len(p.s) < 2 OR len(i.s) < 2 OR p.s[-2] = i.s[-2]) JOIN p f ON f.repo = i.repo AND f.package = i.a GROUP BY i.repo, i.a, i.import_path),
+pe AS (SELECT DISTINCT repo, a, b FROM tg WHERE a <> b),
 r AS (SELECT repo, a, b FROM pe UNION SELECT r.repo, r.a, pe.b FROM r JOIN pe ON pe.repo = r.repo AND pe.a = r.b),
 m AS (SELECT x.repo, x.a, min(least(x.a, x.b)) AS component FROM r x JOIN r y ON y.repo = x.repo AND y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.repo, x.a)"""
 
