@@ -3,6 +3,7 @@
 Byte-level BPE with the usual pre-token pattern never joins a non-space and the white space after it, so a text is cut
 there into units (" word", "\\nWord,") whose ids do not depend on their neighbours. Units recur; each distinct one is
 encoded once and its ids are kept in a per-worker table (emptied when full: the table saves time, it never changes ids).
+New units are encoded as one text where no two of them can join there: those that end in white space go by themselves.
 Units are told apart by 64-bit hashes of their bytes.
 """
 
@@ -52,6 +53,14 @@ def unit_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def ends_blank(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of the spans that end there have one of Unicode's white spaces as their last character."""
+    one, two, three = data[ends - 1], data[np.maximum(ends - 2, 0)], data[np.maximum(ends - 3, 0)]
+    wide = (three == 0xE2) & (((two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF))) | ((two == 0x81) & (one == 0x9F)))
+    wide |= (one == 0x80) & (((three == 0xE1) & (two == 0x9A)) | ((three == 0xE3) & (two == 0x80)))
+    return (one == 32) | ((one >= 9) & (one <= 13)) | ((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) | wide
+
+
 class Units:
     """The table of one worker: hash of a unit -> its ids."""
 
@@ -68,8 +77,15 @@ class Units:
 
     def learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> None:
         raw, encode = data.tobytes(), self.encode
-        joint = data[starts] <= 32  # units that begin with white space can be encoded side by side
-        flat, n = [], np.zeros(len(starts), np.int64)
+        # units from a white space to anything else can be encoded side by side; one that ends in white space would take the next one's in
+        joint = ((data[starts] == 32) | ((data[starts] >= 9) & (data[starts] <= 13))) & ~ends_blank(data, ends)
+        if joint.any():
+            side = b"".join([raw[a:b] for a, b in zip(starts[joint].tolist(), ends[joint].tolist())])
+            try:
+                together = encode.encode_to_numpy(side.decode("utf-8"), disallowed_special=())
+            except UnicodeDecodeError:  # what stands in for wrong bytes has another length
+                joint[:] = False
+        flat, n = [np.zeros(0, np.uint32)], np.zeros(len(starts), np.int64)
         order = np.concatenate([np.flatnonzero(~joint), np.flatnonzero(joint)])
         for k in order[: len(order) - int(joint.sum())].tolist():
             ids = encode.encode_to_numpy(raw[starts[k] : ends[k]].decode("utf-8", "replace"), disallowed_special=())
@@ -77,10 +93,9 @@ class Units:
             n[k] = len(ids)
         k = order[len(order) - int(joint.sum()) :]
         if len(k):
-            ids = encode.encode_to_numpy(b"".join([raw[a:b] for a, b in zip(starts[k].tolist(), ends[k].tolist())]).decode("utf-8", "replace"), disallowed_special=())
-            done = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(ends[k] - starts[k]))
+            done = np.searchsorted(np.cumsum(self.bytes_of[together]), np.cumsum(ends[k] - starts[k]))
             n[k] = np.diff(done + 1, prepend=0)
-            flat.append(ids)
+            flat.append(together)
         flat = np.concatenate(flat)
         where = np.cumsum(n[order]) - n[order]
         at = np.empty(len(n), np.int64)

@@ -58,6 +58,23 @@ def test_token_counts_and_ids_are_those_of_the_encoder():
     assert [flat[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == expected
 
 
+def test_units_learnt_together_have_the_ids_they_have_apart():
+    enc = vocab.encoding()
+    for blank in ["\n", " ", "  \n", "\t", " \u00a0", " \u2003", "\n\u3000"]:
+        for k in range(40):  # units are learnt in the order of their hashes: either one may come first
+            texts = [f"a{blank}", f"b\n\nfoo{k}", f"c  bar{k}", f"\x01d{k}", f"e !{k}"]
+            flat, off = (vocab.units.cache_clear(), vocab.batch_ids(pa.array(texts)))[1]
+            assert [flat[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [enc.encode(t) for t in texts]
+            assert vocab.batch_counts(pa.array(texts)).tolist() == [len(enc.encode(t)) for t in texts]
+
+
+def test_units_with_wrong_bytes_leave_their_neighbours_alone():
+    enc, raw = vocab.encoding(), [b"a \xff\xffb", b"a word and more words"]
+    col = pa.Array.from_buffers(pa.string(), 2, pa.array(raw, pa.binary()).buffers())
+    vocab.units.cache_clear()
+    assert vocab.batch_counts(col).tolist() == [len(enc.encode(x.decode("utf-8", "replace"))) for x in raw]
+
+
 def test_windows_hold_whole_rows():
     col = pa.array(["ab", None, "c" * 100, "", "d"]).slice(1)
     assert [(a, b, bytes(d)) for a, b, d, _ in windows(col, 10)] == [(0, 1, b""), (1, 2, b"c" * 100), (2, 4, b"d")]
