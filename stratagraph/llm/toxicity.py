@@ -2,15 +2,19 @@
 
 Labelled documents that are near copies of each other (equal bands of MinHash values of their word sets) form a family;
 a document counts as one part of its family, so that a text copied a thousand times is one witness. Seeds are the words
-whose counts in labelled toxic and clean families differ most clearly (likelihood ratio). Nodes are the seeds and the
-words of at least ``MIN_SUPPORT`` toxic families that lean to toxic. Edges carry the positive pointwise mutual
-information, less ``SHIFT``, of a node and a seed within ``SPAN`` words, counted over the whole corpus. Two walks with
-restart, from the toxic and from the clean seeds, give each node two masses; its polarity weight is their difference over
-their sum (a toxic seed keeps the weight 1 that its labels give it). A document's score is the sum of the weights of its words that have at least ``MIN_WEIGHT``, less
-``BACKGROUND`` times what labelled clean texts have per word; from ``THRESHOLD`` on it is toxic.
-
-Seeds and nodes are chosen on at most ``MAX_LABELLED`` labelled documents (in a fixed pseudo-random order); counts and
-scores cover all documents, in one pass each.
+whose counts in labelled toxic and clean families differ most clearly (likelihood ratio). Nodes are the seeds and all
+words of the corpus, labelled or not, that have an edge to a seed and stand near seeds in ``MIN_CONTEXTS`` different
+contexts (equal contexts are copies). Edges join any two nodes and carry their positive pointwise mutual information,
+less ``SHIFT``, within ``SPAN`` words, counted over the whole corpus. Two walks with restart, from the toxic and from the
+clean seeds, give each node two masses; its polarity weight is their difference over their sum (a toxic seed keeps the
+weight 1 that its labels give it). A document's score is the sum of the weights of its words that have at least
+``MIN_WEIGHT``, less ``BACKGROUND`` times what labelled clean texts have per word; from ``THRESHOLD`` on it is toxic. A
+word's weight counts if labels or the corpus say that it leans to toxic: it is in at least ``MIN_SUPPORT`` toxic families
+and in more of them than of clean ones, or at least ``MIN_NEAR`` of its occurrences are near a toxic seed and labels
+don't speak against it. Other nodes only conduct.
+
+Seeds are chosen on at most ``MAX_LABELLED`` labelled documents (in a fixed pseudo-random order); nodes, counts and scores
+cover all documents.
 
 Defined results: null and empty texts score 0. Labels that are null, or of documents that are not there, count for
 nothing; of several labels of a document the highest holds. Repeated rows score alike. Without toxic seeds nothing is
@@ -23,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratagraph.llm import base
@@ -37,6 +41,8 @@ SEED_SUPPORT = 3.0
 SEED_RATIO = 18.0
 SPAN = 12
 MIN_JOINT = 3
+MIN_CONTEXTS = 3
+MIN_NEAR = 0.25
 SHIFT = 2.0
 WALK = 0.85
 MIN_WEIGHT = 0.5
@@ -150,70 +156,133 @@ def lean(bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float) -> np.n
     return np.where(p >= p0, g, -g)
 
 
-def cooccurrences(docs: DataFrame, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Over all texts: how often seed and node stand within SPAN words (seeds x nodes), how often each node occurs, and the number of words. nodes: ascending hashes; seeds: their numbers."""
-    small, v = base.id_and_text(docs), len(nodes)
-    seed_of = np.full(v + 1, -1, np.int64)
-    seed_of[seeds] = np.arange(len(seeds))
-    shared = docs.sparkSession.sparkContext.broadcast((nodes, seed_of))
+def near_seeds(docs: DataFrame, seeds: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+    """All words, of whatever documents, that have an edge to a seed and stand near seeds in MIN_CONTEXTS different contexts: ascending hashes, and which share of a word's occurrences is near a toxic seed, and how often it occurs; the same of the seeds; and the number of words. seeds: ascending hashes; toxic: which of them are."""
+    small = base.id_and_text(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((seeds, toxic))
+
+    def summed(parts):
+        w, s, c, bits = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((s, w))
+        w, s, c, bits = w[order], s[order], c[order], bits[order]
+        new = np.append(True, (w[1:] != w[:-1]) | (s[1:] != s[:-1]))
+        at = np.flatnonzero(new)
+        return w[at], s[at], np.add.reduceat(c, at), np.bitwise_or.reduceat(bits, at)
 
     def count(batches):
-        hashes, seed = shared.value
-        find, joint, own = Lookup(hashes), [], np.zeros(v + 1, np.int64)
+        find, is_toxic, parts, held = Lookup(shared.value[0]), shared.value[1], [], 0
         for b in batches:
             for _, _, data, off in windows(b.column(0)):
                 _, _, h, first = words(data, off)
-                node = find(h)
-                own += np.append(np.bincount(node[node >= 0], minlength=v), len(h))
-                s = seed[node]
+                near = np.zeros(len(h), bool)
+                if not len(h):
+                    continue
+                u, c = np.unique(h, return_counts=True)
+                parts.append((u, np.full(len(u), -1), c, np.zeros(len(u), np.int64)))
+                parts.append((np.zeros(1, U), np.full(1, -2), np.full(1, len(h)), np.zeros(1, np.int64)))
+                s = find(h)
                 at = np.flatnonzero(s >= 0)
                 row = np.searchsorted(first, at, "right") - 1
                 lo, hi = first[row], first[row + 1]
+                total = np.concatenate([np.zeros(1, U), np.cumsum(h)])
                 for d in [*range(-SPAN, 0), *range(1, SPAN + 1)]:
                     q = at + d
                     ok = (q >= lo) & (q < hi)
-                    n = node[q[ok]]
-                    joint.append((s[at][ok] * v + n)[n >= 0])
-                if len(joint) > 4000:
-                    u, c = np.unique(np.concatenate(joint), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], ["k", "c"])
-                    joint = []
+                    x, y = at[ok], q[ok]
+                    if not len(x):
+                        continue
+                    # one of 64 bits for what stands from one word before the pair to one after it: copies share it
+                    context = mix(total[np.minimum(np.maximum(x, y) + 2, hi[ok])] - total[np.maximum(np.minimum(x, y) - 1, lo[ok])])
+                    parts.append((h[y], s[x], np.ones(len(x), np.int64), (U(1) << (context >> U(58))).view(np.int64)))
+                    near[y[is_toxic[s[x]]]] = True
+                u, c = np.unique(h[near], return_counts=True)
+                parts.append((u, np.full(len(u), -3), c, np.zeros(len(u), np.int64)))
+                held += 2 * len(u) + len(at) * 2 * SPAN
+                if held > 2_000_000:
+                    parts, held = [summed(parts)], 0
+                    if len(parts[0][0]) > 1_000_000:
+                        yield from batch(parts[0])
+                        parts = []
+        if parts:
+            yield from batch(summed(parts))
+
+    def batch(x):
+        for a in range(0, len(x[0]), 100_000):
+            w, s, c, bits = (y[a : a + 100_000] for y in x)
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(s, pa.int64()), pa.array(c, pa.int64()), pa.array(bits)], ["w", "s", "c", "bits"])
+
+    rows = small.select("text").mapInArrow(count, "w bigint, s bigint, c bigint, bits bigint").repartition("w").groupBy("w", "s").agg(F.sum("c").alias("c"), F.expr("bit_or(bits)").alias("bits"))
+    rows = rows.select("*", *(F.max(F.when(F.col("s") == k, F.col("c"))).over(Window.partitionBy("w")).alias(c) for k, c in ((-1, "own"), (-3, "near"))))
+    hash_of = seeds.view(np.int64).tolist()
+    rows = base.written(rows.where(f"s = -2 or c >= {MIN_JOINT} or w in ({','.join(map(str, hash_of))})"), "seedwords")
+    known = {r.w: r.c for r in rows.where(F.col("s") == -1).where(F.col("w").isin(hash_of)).collect()}
+    n_words = (rows.where("s = -2").agg(F.sum("c")).first()[0]) or 1
+    own = docs.sparkSession.createDataFrame([(k, float(known.get(x, 0))) for k, x in enumerate(hash_of)], "s bigint, own_seed double")
+    edges = rows.where(f"s >= 0 and c >= {MIN_JOINT}").join(own, "s").where(F.log(F.col("c") * n_words / (F.col("own_seed") * (2 * SPAN) * F.col("own"))) > SHIFT)
+    got = edges.groupBy("w").agg(F.expr("bit_count(bit_or(bits))").alias("n"), F.max(F.coalesce("near", F.lit(0)) / F.col("own")).alias("share"), F.max("own").alias("own")).where(F.col("n") >= MIN_CONTEXTS).select("w", "share", "own").toArrow()
+    w = got.column("w").to_numpy().view(U)
+    order = np.argsort(w)
+    return w[order], got.column("share").to_numpy()[order], got.column("own").to_numpy()[order], np.array([known.get(x, 1) for x in hash_of]), float(n_words)
+
+
+def cooccurrences(docs: DataFrame, nodes: np.ndarray, own: np.ndarray, n_words: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edges over all texts: pairs of different nodes that stand within SPAN words MIN_JOINT times at least, and their positive ppmi. nodes: ascending hashes; own: how often each occurs."""
+    small, v = base.id_and_text(docs), len(nodes)
+    shared = docs.sparkSession.sparkContext.broadcast((nodes, own))
+
+    def summed(joint):
+        u = np.sort(np.concatenate(joint))
+        at = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(u[at]), pa.array(np.diff(np.append(at, len(u))))], ["k", "c"])
+
+    def count(batches):
+        find, joint, held = Lookup(shared.value[0]), [], 0
+        for b in batches:
+            for _, _, data, off in windows(b.column(0)):
+                _, _, h, first = words(data, off)
+                node = find(h)
+                at = np.flatnonzero(node >= 0)
+                row = np.searchsorted(first, at, "right") - 1
+                for k in range(1, SPAN + 1):
+                    x = np.flatnonzero((at[k:] - at[:-k] <= SPAN) & (row[k:] == row[:-k]))
+                    if not len(x):
+                        break
+                    i, j = node[at[x]], node[at[x + k]]
+                    joint.append((np.minimum(i, j) * v + np.maximum(i, j))[i != j])
+                    held += len(joint[-1])
+                if held > 4_000_000:
+                    yield summed(joint)
+                    joint, held = [], 0
         if joint:
-            u, c = np.unique(np.concatenate(joint), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], ["k", "c"])
-        some = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(-1 - some), pa.array(own[some])], ["k", "c"])
-
-    rows = small.select("text").mapInArrow(count, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")).toPandas()
-    k, c = rows["k"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
-    joint, own = np.zeros(len(seeds) * v), np.zeros(v + 1)
-    joint[k[k >= 0]] = c[k >= 0]
-    own[-1 - k[k < 0]] = c[k < 0]
-    return joint.reshape(len(seeds), v), own[:v], float(own[v])
-
-
-def ppmi(joint: np.ndarray, own: np.ndarray, seeds: np.ndarray, n_words: float) -> np.ndarray:
-    """Positive pointwise mutual information of seeds and nodes, less SHIFT."""
-    expected = own[seeds][:, None] * (2 * SPAN) * (own / max(1.0, n_words))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        x = np.log(joint / expected)
-    return np.where((joint >= MIN_JOINT) & (x > SHIFT), x - SHIFT, 0.0)
+            yield summed(joint)
 
+    def edges(batches):
+        for b in batches:
+            k, c = (x.to_numpy(zero_copy_only=False) for x in b.columns)
+            x = ppmi(k // v, k % v, c, shared.value[1], n_words)
+            yield pa.RecordBatch.from_arrays([pa.array(k[x > 0]), pa.array(x[x > 0])], ["k", "x"])
 
-def walk(m: np.ndarray, seeds: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Mass of each node in a random walk over the seed-node edges m that goes back to the start nodes, run until it stands."""
-    s, v = m.shape
-    out = m.sum(axis=0)  # weight of a node's edges to seeds; a seed has its row too
-    degree = out.copy()
-    degree[seeds] += m.sum(axis=1) - m[np.arange(s), seeds]
+    pairs = small.select("text").mapInArrow(count, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")).where(f"c >= {MIN_JOINT}")
+    rows = pairs.mapInArrow(edges, "k bigint, x double").toArrow()
+    k, x = rows.column("k").to_numpy(), rows.column("x").to_numpy()
+    order = np.argsort(k)
+    return k[order] // v, k[order] % v, x[order]
+
+
+def ppmi(i: np.ndarray, j: np.ndarray, joint: np.ndarray, own: np.ndarray, n_words: float) -> np.ndarray:
+    """Positive pointwise mutual information of pairs of nodes, less SHIFT."""
+    return np.maximum(0.0, np.log(joint / (own[i] * (2 * SPAN) * (own[j] / max(1.0, n_words)))) - SHIFT)
+
+
+def wander(i: np.ndarray, j: np.ndarray, x: np.ndarray, v: int, start: np.ndarray) -> np.ndarray:
+    """Mass of each of v nodes in a random walk over the undirected edges (i, j) of weight x that goes back to the start nodes, run until it stands."""
+    degree = np.bincount(i, x, v) + np.bincount(j, x, v)
     restart = np.zeros(v)
     restart[start] = 1 / max(1, len(start))
     p = restart.copy()
     for _ in range(200):
-        x = np.divide(p, degree, out=np.zeros(v), where=degree > 0)
-        from_seed = x[seeds]
-        y = from_seed @ m
-        y[seeds] += m @ x - m[np.arange(s), seeds] * from_seed
+        out = np.divide(p, degree, out=np.zeros(v), where=degree > 0)
+        y = np.bincount(j, x * out[i], v) + np.bincount(i, x * out[j], v)
         lost = 1 - y.sum()
         new = WALK * (y + lost * restart) + (1 - WALK) * restart
         if np.abs(new - p).sum() < 1e-9:
@@ -222,6 +291,12 @@ def walk(m: np.ndarray, seeds: np.ndarray, start: np.ndarray) -> np.ndarray:
     return p
 
 
+def walk(m: np.ndarray, seeds: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """wander() over the edges of a matrix of seeds and nodes."""
+    s, n = np.nonzero(m)
+    return wander(seeds[s], n, m[s, n], m.shape[1], start)
+
+
 @dataclass
 class Lexicon:
     keys: np.ndarray  # ascending word hashes
@@ -246,14 +321,20 @@ def lexicon(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Lex
         return Lexicon(np.zeros(0, U), np.zeros(0))
     clean = np.zeros(len(g), bool)
     clean[[k for k in np.argsort(g, kind="stable")[: max(10, int(toxic.sum()))].tolist() if g[k] < 0]] = True
-    node = toxic | clean | (rare & (bad_in >= MIN_SUPPORT) & (bad_in > good_in))
-    h, toxic, clean = some.vocabulary[node], toxic[node], clean[node]
-    seeds = np.flatnonzero(toxic | clean)
-    joint, own, n_words = cooccurrences(docs, h, seeds)
-    m = ppmi(joint, own, seeds, n_words)
-    bad, good = walk(m, seeds, np.flatnonzero(toxic)), walk(m, seeds, np.flatnonzero(clean))
-    weight = np.where(toxic, 1.0, (bad - good) / (bad + good + 0.05 / len(h)))
-    strong = (weight >= MIN_WEIGHT) & ~clean
+    seeds = some.vocabulary[toxic | clean]
+    near, share, near_own, seed_own, n_words = near_seeds(docs, seeds, toxic[toxic | clean])
+    h = np.union1d(seeds, np.setdiff1d(near, some.vocabulary[~rare]))
+    own = np.zeros(len(h))
+    own[np.searchsorted(h, seeds)] = seed_own
+    _, a, b = np.intersect1d(h, near, return_indices=True)
+    own[a] = near_own[b]
+    i, j, x = cooccurrences(docs, h, own, n_words)
+    is_toxic, is_clean = np.isin(h, some.vocabulary[toxic]), np.isin(h, some.vocabulary[clean])
+    bad, good = wander(i, j, x, len(h), np.flatnonzero(is_toxic)), wander(i, j, x, len(h), np.flatnonzero(is_clean))
+    weight = np.where(is_toxic, 1.0, (bad - good) / (bad + good + 0.05 / len(h)))
+    leaning = toxic | (rare & (bad_in >= MIN_SUPPORT) & (bad_in > good_in))
+    leaning = np.isin(h, np.union1d(some.vocabulary[leaning], np.setdiff1d(near[share >= MIN_NEAR], some.vocabulary[good_in >= bad_in])))
+    strong = (weight >= MIN_WEIGHT) & leaning & ~is_clean
     keys, weight = h[strong], weight[strong]
     at = Lookup(keys)(some.words)
     own = np.repeat(np.where(some.toxic, 0.0, some.share), np.diff(some.first)) * some.times

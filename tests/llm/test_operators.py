@@ -371,6 +371,23 @@ def test_induced_lexicon_finds_unlabelled_terms(spark):
     assert toxicity.reject(docs, labels).count() == sum(not x for x in got.values())
 
 
+def test_terms_that_no_labelled_document_has_are_induced(spark):
+    rng = random.Random(8)
+    clean, toxic, vile, common = ([f"{x}{k}" for k in range(n)] for x, n in (("plain", 3000), ("foul", 8), ("vile", 4), ("usual", 20)))
+    texts, kind = [], []
+    for k in range(1200):
+        w = [rng.choice(clean) if rng.random() < 0.8 else rng.choice(common) for _ in range(300)]
+        kind.append("labelled" if k % 2 else "vile" if k % 48 == 0 else "both" if k % 8 == 2 else "clean")
+        bad = {"labelled": toxic if k % 8 == 1 else None, "both": toxic + vile, "vile": vile}.get(kind[-1])
+        for at in rng.sample(range(100, 130), 6) if bad else []:
+            w[at] = rng.choice(bad)
+        texts.append(" ".join(w))
+    labels = spark.createDataFrame([(k, int(k % 8 == 1)) for k in range(1, 1200, 2)], "doc_id bigint, toxic int")
+    got = {r.doc_id: r.toxic for r in toxicity.scores(docs_of(spark, texts), labels).collect()}
+    share = {x: np.mean([got[k] for k in range(1200) if kind[k] == x]) for x in ("clean", "both", "vile")}
+    assert share["vile"] >= 0.95 and share["both"] >= 0.95 and share["clean"] <= 0.02
+
+
 def test_toxic_documents_of_the_table(spark, documents, labels):
     rude = re.compile(r"\b(idiot|moron|scum|trash|worthless|pathetic|clown|loser|stupid|disgusting)\b", re.I)
     text = {r.doc_id: r.text or "" for r in documents.select("doc_id", "text").collect()}
