@@ -3,15 +3,14 @@
 Labelled documents that are near copies of each other (equal bands of MinHash values of their word sets) form a family;
 a document counts as one part of its family, so that a text copied a thousand times is one witness. Seeds are the words
 whose counts in labelled toxic and clean families differ most clearly (likelihood ratio). Nodes are the seeds and all
-words of the corpus, labelled or not, that have an edge to a seed and stand near seeds in ``MIN_CONTEXTS`` different
-contexts (equal contexts are copies). Edges join any two nodes and carry their positive pointwise mutual information,
+words of the corpus, labelled or not, that have an edge to a toxic seed, stand near toxic seeds in ``MIN_CONTEXTS``
+different contexts (equal contexts are copies) and may count: labels or the corpus say that they lean to toxic. A word
+does if it is in at least ``MIN_SUPPORT`` toxic families and in more of them than of clean ones, or if at least
+``MIN_NEAR`` of its occurrences are near a toxic seed and labels don't speak against it. Edges join any two nodes and carry their positive pointwise mutual information,
 less ``SHIFT``, within ``SPAN`` words, counted over the whole corpus. Two walks with restart, from the toxic and from the
 clean seeds, give each node two masses; its polarity weight is their difference over their sum (a toxic seed keeps the
 weight 1 that its labels give it). A document's score is the sum of the weights of its words that have at least
-``MIN_WEIGHT``, less ``BACKGROUND`` times what labelled clean texts have per word; from ``THRESHOLD`` on it is toxic. A
-word's weight counts if labels or the corpus say that it leans to toxic: it is in at least ``MIN_SUPPORT`` toxic families
-and in more of them than of clean ones, or at least ``MIN_NEAR`` of its occurrences are near a toxic seed and labels
-don't speak against it. Other nodes only conduct.
+``MIN_WEIGHT``, less ``BACKGROUND`` times what labelled clean texts have per word; from ``THRESHOLD`` on it is toxic.
 
 Seeds are chosen on at most ``MAX_LABELLED`` labelled documents (in a fixed pseudo-random order); nodes, counts and scores
 cover all documents.
@@ -27,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratagraph.llm import base
@@ -71,25 +70,6 @@ class Lookup:
         return out
 
 
-@dataclass
-class Labelled:
-    """The distinct words of labelled documents, how often each has them, and the documents' classes."""
-
-    words: np.ndarray
-    times: np.ndarray
-    first: np.ndarray
-    toxic: np.ndarray
-    share: np.ndarray  # one over the size of the document's family
-
-    def sums(self, toxic: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Ascending words and in how many toxic or clean families they are."""
-        part = np.where(self.toxic == toxic, self.share, 0.0)
-        return np.bincount(self.number, np.repeat(part, np.diff(self.first)), minlength=len(self.vocabulary)), part.sum()
-
-    def __post_init__(self) -> None:
-        self.vocabulary, self.number = np.unique(self.words, return_inverse=True)
-
-
 def family_bands(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Hashes of bands of MinHash values of each row's words; rows without words: 0."""
     out = np.zeros((len(first) - 1, FAMILY_BANDS), U)
@@ -119,8 +99,56 @@ def family_sizes(bands: np.ndarray, some: np.ndarray) -> np.ndarray:
     return np.bincount(top, minlength=len(up))[top]
 
 
+@dataclass
+class Labelled:
+    """The labelled sample as a side table (toxic, words, times, bands), a row a document; and each family's share, 1 over its size, by the first band."""
+
+    rows: DataFrame
+    bands: np.ndarray  # ascending
+    share: np.ndarray
+    n_bad: float
+    n_good: float
+
+    def sums(self) -> DataFrame:
+        """(w, bad, good, g): in how many toxic and clean families each word is, and the signed likelihood ratio; added up in Arrow batches, then by word."""
+        bands, share = self.bands, self.share
+
+        def count(batches):
+            for b in batches:
+                toxic, parts = b.column(0).to_numpy(zero_copy_only=False) > 0, [np.frombuffer(x.as_buffer(), U) for x in b.column(1)]
+                first = np.array([np.frombuffer(x.as_buffer(), U)[0] for x in b.column(2)], U)
+                n = np.array([len(x) for x in parts], np.int64)
+                own = np.where(n > 0, share[np.minimum(np.searchsorted(bands, first), max(0, len(share) - 1))], 0.0) if len(share) else np.zeros(len(n))
+                w, at = np.unique(np.concatenate([np.zeros(0, U), *parts]), return_inverse=True)
+                bad, good = (np.bincount(at, np.repeat(np.where(toxic == x, own, 0.0), n), minlength=len(w)) for x in (True, False))
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(bad), pa.array(good)], ["w", "bad", "good"])
+
+        total = self.rows.select("toxic", "words", "bands").mapInArrow(count, "w bigint, bad double, good double").groupBy("w").agg(F.round(F.sum("bad"), 9).alias("bad"), F.round(F.sum("good"), 9).alias("good"))
+        return total.withColumn("g", lean(F.col("bad"), F.col("good"), self.n_bad, self.n_good))
+
+    def background(self, keys: np.ndarray, weights: np.ndarray) -> float:
+        """What clean documents, each with its family's share, have per word."""
+        bands, share, spark = self.bands, self.share, self.rows.sparkSession
+        shared = spark.sparkContext.broadcast((keys, weights))
+
+        def count(batches):
+            find, w = Lookup(shared.value[0]), np.append(shared.value[1], 0.0)
+            for b in batches:
+                hit = total = 0.0
+                for words_of, times_of, band in zip(*b.columns):
+                    h, n = np.frombuffer(words_of.as_buffer(), U), np.frombuffer(times_of.as_buffer(), "<i4")
+                    if len(h):
+                        own = share[np.searchsorted(bands, np.frombuffer(band.as_buffer(), U)[0])]
+                        hit, total = hit + own * float((w[find(h)] * n).sum()), total + own * float(n.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([hit]), pa.array([total])], ["hit", "total"])
+
+        got = self.rows.where("toxic = 0").select("words", "times", "bands").mapInArrow(count, "hit double, total double").agg(F.sum("hit"), F.sum("total")).first()
+        shared.destroy()
+        return float(got[0] or 0.0) / max(1.0, float(got[1] or 0.0))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Labelled:
-    """The labelled sample; its bound makes the labels fit for a broadcast and the words for the driver."""
+    """The labelled sample; its bound makes the labels fit for a broadcast and the bands, 48 bytes a document, for the driver. Words stay on the executors."""
     small = base.id_and_text(docs)
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     some = marks.orderBy(base.sample_order("doc_id"), "doc_id").limit(most)
@@ -128,38 +156,36 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> La
     def count(batches):
         for b in batches:
             cols: list[list] = [[], [], []]
-            for _, _, data, off in windows(b.column(1)):
+            for _, _, data, off in windows(b.column(0)):
                 _, _, h, first = words(data, off)
                 u, times, at = distinct_per_row(h, first)
-                bands = family_bands(u, at)
                 cols[0] += [u[p:q].tobytes() for p, q in zip(at[:-1], at[1:])]
                 cols[1] += [times[p:q].astype("<i4").tobytes() for p, q in zip(at[:-1], at[1:])]
-                cols[2] += [x.tobytes() for x in bands]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(2), *(pa.array(c, pa.binary()) for c in cols)], ["id", "toxic", "words", "times", "bands"])
+                cols[2] += [x.tobytes() for x in family_bands(u, at)]
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(c, pa.binary()) for c in cols)], ["toxic", "words", "times", "bands"])
 
-    got = small.join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").mapInArrow(count, "id string, toxic int, words binary, times binary, bands binary").toArrow()
-    got = got.sort_by([("id", "ascending"), ("words", "ascending")])
-    h = [np.frombuffer(x, U) for x in got.column("words").to_pylist()]
-    times = [np.frombuffer(x, "<i4") for x in got.column("times").to_pylist()]
-    bands = np.array([np.frombuffer(x, U) for x in got.column("bands").to_pylist()], U).reshape(-1, FAMILY_BANDS)
-    n = np.array([len(x) for x in h], np.int64)
-    size = family_sizes(bands, n > 0)
-    return Labelled(np.concatenate([np.zeros(0, U), *h]), np.concatenate([np.zeros(0, "<i4"), *times]), np.concatenate([[0], np.cumsum(n)]).astype(np.int64), got.column("toxic").to_numpy() > 0, 1 / np.maximum(1, size))
+    rows = base.written(small.join(F.broadcast(some), "doc_id").select("text", "toxic").mapInArrow(count, "toxic int, words binary, times binary, bands binary"), "labelled")
+    got = rows.select("toxic", "bands", (F.length("words") > 0).alias("some")).toArrow().combine_chunks()
+    bands = np.array([np.frombuffer(x.as_buffer(), U) for x in got.column("bands")], U).reshape(-1, FAMILY_BANDS)
+    share = 1 / np.maximum(1, family_sizes(bands, some_of := got.column("some").to_numpy()))
+    toxic = got.column("toxic").to_numpy() > 0
+    first, at = np.unique(bands[some_of, 0], return_index=True)  # equal first bands are one family
+    return Labelled(rows, first, share[some_of][at], float(share[toxic].sum()), float(share[~toxic].sum()))
 
 
-def lean(bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float) -> np.ndarray:
-    """Signed likelihood ratio of each word's counts against the share of toxic families."""
+def lean(bad: Column, good: Column, n_bad: float, n_good: float) -> Column:
+    """Signed likelihood ratio of a word's counts against the share of toxic families."""
     n, p0 = bad + good, n_bad / max(1e-9, n_bad + n_good)
-    p = bad / np.maximum(n, 1e-9)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.where(bad > 0, bad * np.log(p / p0), 0) + np.where(good > 0, good * np.log((1 - p) / (1 - p0)), 0))
-    return np.where(p >= p0, g, -g)
+    p = bad / F.greatest(n, F.lit(1e-9))
+    part = lambda x, share, whole: F.when(x > 0, x * F.log(share / whole)).otherwise(0.0)
+    g = 2 * (part(bad, p, p0 or 1.0) + part(good, 1 - p, (1 - p0) or 1.0))
+    return F.when(p >= p0, g).otherwise(-g)
 
 
-def near_seeds(docs: DataFrame, seeds: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
-    """All words, of whatever documents, that have an edge to a seed and stand near seeds in MIN_CONTEXTS different contexts: ascending hashes, and which share of a word's occurrences is near a toxic seed, and how often it occurs; the same of the seeds; and the number of words. seeds: ascending hashes; toxic: which of them are."""
+def near_seeds(docs: DataFrame, toxic: np.ndarray, clean: np.ndarray, said: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[int, int], float]:
+    """All words, of whatever documents, that have an edge to a toxic seed and stand near toxic seeds in MIN_CONTEXTS different contexts, and lean to toxic: ascending hashes, and how often each occurs; how often each seed occurs; and the number of words. toxic, clean: the seeds' ascending hashes; said: what labels say, (w, rare, leans, against)."""
     small = base.id_and_text(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((seeds, toxic))
+    shared = docs.sparkSession.sparkContext.broadcast(toxic)
 
     def summed(parts):
         w, s, c, bits = (np.concatenate(x) for x in zip(*parts))
@@ -170,7 +196,7 @@ def near_seeds(docs: DataFrame, seeds: np.ndarray, toxic: np.ndarray) -> tuple[n
         return w[at], s[at], np.add.reduceat(c, at), np.bitwise_or.reduceat(bits, at)
 
     def count(batches):
-        find, is_toxic, parts, held = Lookup(shared.value[0]), shared.value[1], [], 0
+        find, parts, held = Lookup(shared.value), [], 0
         for b in batches:
             for _, _, data, off in windows(b.column(0)):
                 _, _, h, first = words(data, off)
@@ -194,7 +220,7 @@ def near_seeds(docs: DataFrame, seeds: np.ndarray, toxic: np.ndarray) -> tuple[n
                     # one of 64 bits for what stands from one word before the pair to one after it: copies share it
                     context = mix(total[np.minimum(np.maximum(x, y) + 2, hi[ok])] - total[np.maximum(np.minimum(x, y) - 1, lo[ok])])
                     parts.append((h[y], s[x], np.ones(len(x), np.int64), (U(1) << (context >> U(58))).view(np.int64)))
-                    near[y[is_toxic[s[x]]]] = True
+                    near[y] = True
                 u, c = np.unique(h[near], return_counts=True)
                 parts.append((u, np.full(len(u), -3), c, np.zeros(len(u), np.int64)))
                 held += 2 * len(u) + len(at) * 2 * SPAN
@@ -213,16 +239,18 @@ def near_seeds(docs: DataFrame, seeds: np.ndarray, toxic: np.ndarray) -> tuple[n
 
     rows = small.select("text").mapInArrow(count, "w bigint, s bigint, c bigint, bits bigint").repartition("w").groupBy("w", "s").agg(F.sum("c").alias("c"), F.expr("bit_or(bits)").alias("bits"))
     rows = rows.select("*", *(F.max(F.when(F.col("s") == k, F.col("c"))).over(Window.partitionBy("w")).alias(c) for k, c in ((-1, "own"), (-3, "near"))))
-    hash_of = seeds.view(np.int64).tolist()
+    hash_of = np.union1d(toxic, clean).view(np.int64).tolist()
     rows = base.written(rows.where(f"s = -2 or c >= {MIN_JOINT} or w in ({','.join(map(str, hash_of))})"), "seedwords")
     known = {r.w: r.c for r in rows.where(F.col("s") == -1).where(F.col("w").isin(hash_of)).collect()}
     n_words = (rows.where("s = -2").agg(F.sum("c")).first()[0]) or 1
-    own = docs.sparkSession.createDataFrame([(k, float(known.get(x, 0))) for k, x in enumerate(hash_of)], "s bigint, own_seed double")
+    own = docs.sparkSession.createDataFrame([(k, float(known.get(x, 0))) for k, x in enumerate(toxic.view(np.int64).tolist())], "s bigint, own_seed double")
     edges = rows.where(f"s >= 0 and c >= {MIN_JOINT}").join(own, "s").where(F.log(F.col("c") * n_words / (F.col("own_seed") * (2 * SPAN) * F.col("own"))) > SHIFT)
-    got = edges.groupBy("w").agg(F.expr("bit_count(bit_or(bits))").alias("n"), F.max(F.coalesce("near", F.lit(0)) / F.col("own")).alias("share"), F.max("own").alias("own")).where(F.col("n") >= MIN_CONTEXTS).select("w", "share", "own").toArrow()
+    got = edges.groupBy("w").agg(F.expr("bit_count(bit_or(bits))").alias("n"), F.max(F.coalesce("near", F.lit(0)) / F.col("own")).alias("share"), F.max("own").alias("own")).where(F.col("n") >= MIN_CONTEXTS)
+    got = got.join(said, "w", "left").where(F.coalesce("rare", F.lit(True)) & (F.coalesce("leans", F.lit(False)) | ((F.col("share") >= MIN_NEAR) & ~F.coalesce("against", F.lit(False))))).select("w", "own").toArrow()
+    shared.destroy()
     w = got.column("w").to_numpy().view(U)
     order = np.argsort(w)
-    return w[order], got.column("share").to_numpy()[order], got.column("own").to_numpy()[order], np.array([known.get(x, 1) for x in hash_of]), float(n_words)
+    return w[order], got.column("own").to_numpy()[order], known, float(n_words)
 
 
 def cooccurrences(docs: DataFrame, nodes: np.ndarray, own: np.ndarray, n_words: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -264,6 +292,7 @@ def cooccurrences(docs: DataFrame, nodes: np.ndarray, own: np.ndarray, n_words:
 
     pairs = small.select("text").mapInArrow(count, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")).where(f"c >= {MIN_JOINT}")
     rows = pairs.mapInArrow(edges, "k bigint, x double").toArrow()
+    shared.destroy()
     k, x = rows.column("k").to_numpy(), rows.column("x").to_numpy()
     order = np.argsort(k)
     return k[order] // v, k[order] % v, x[order]
@@ -311,34 +340,34 @@ class Lexicon:
         self.find = Lookup(self.keys)
 
 
+def _words(rows: DataFrame) -> np.ndarray:
+    """The column w of a frame as ascending hashes."""
+    return np.sort(rows.select("w").toArrow().column(0).to_numpy().view(U))
+
+
 def lexicon(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Lexicon:
+    """Only words over the thresholds come to the driver: seeds, nodes (near_seeds) and their edges; all vocabularies stay tables."""
     some = labelled(docs, labels, most)
-    (bad_in, n_bad), (good_in, n_good) = some.sums(True), some.sums(False)
-    g = lean(bad_in, good_in, n_bad, n_good)
-    rare = bad_in + good_in <= MAX_SHARE * (n_bad + n_good)
-    toxic = rare & (g >= SEED_RATIO) & (bad_in >= SEED_SUPPORT) & (bad_in > good_in)
-    if not toxic.any():
+    sums = base.written(some.sums(), "wordsums")
+    rare = F.col("bad") + F.col("good") <= MAX_SHARE * (some.n_bad + some.n_good)
+    toxic = _words(sums.where(rare & (F.col("g") >= SEED_RATIO) & (F.col("bad") >= SEED_SUPPORT) & (F.col("bad") > F.col("good"))))
+    if not len(toxic):
         return Lexicon(np.zeros(0, U), np.zeros(0))
-    clean = np.zeros(len(g), bool)
-    clean[[k for k in np.argsort(g, kind="stable")[: max(10, int(toxic.sum()))].tolist() if g[k] < 0]] = True
-    seeds = some.vocabulary[toxic | clean]
-    near, share, near_own, seed_own, n_words = near_seeds(docs, seeds, toxic[toxic | clean])
-    h = np.union1d(seeds, np.setdiff1d(near, some.vocabulary[~rare]))
+    clean = np.setdiff1d(_words(sums.where("g < 0").orderBy("g", "w").limit(max(10, len(toxic)))), toxic)
+    seeds = np.union1d(toxic, clean)
+    said = sums.select("w", rare.alias("rare"), (rare & (F.col("bad") >= MIN_SUPPORT) & (F.col("bad") > F.col("good"))).alias("leans"), (F.col("good") >= F.col("bad")).alias("against"))
+    near, near_own, seed_own, n_words = near_seeds(docs, toxic, clean, said)
+    h = np.union1d(seeds, near)
     own = np.zeros(len(h))
-    own[np.searchsorted(h, seeds)] = seed_own
-    _, a, b = np.intersect1d(h, near, return_indices=True)
-    own[a] = near_own[b]
+    own[np.searchsorted(h, seeds)] = [seed_own.get(x, 1) for x in seeds.view(np.int64).tolist()]
+    own[np.searchsorted(h, near)] = near_own
     i, j, x = cooccurrences(docs, h, own, n_words)
-    is_toxic, is_clean = np.isin(h, some.vocabulary[toxic]), np.isin(h, some.vocabulary[clean])
+    is_toxic, is_clean = np.isin(h, toxic), np.isin(h, clean)
     bad, good = wander(i, j, x, len(h), np.flatnonzero(is_toxic)), wander(i, j, x, len(h), np.flatnonzero(is_clean))
     weight = np.where(is_toxic, 1.0, (bad - good) / (bad + good + 0.05 / len(h)))
-    leaning = toxic | (rare & (bad_in >= MIN_SUPPORT) & (bad_in > good_in))
-    leaning = np.isin(h, np.union1d(some.vocabulary[leaning], np.setdiff1d(near[share >= MIN_NEAR], some.vocabulary[good_in >= bad_in])))
-    strong = (weight >= MIN_WEIGHT) & leaning & ~is_clean
+    strong = (weight >= MIN_WEIGHT) & ~is_clean
     keys, weight = h[strong], weight[strong]
-    at = Lookup(keys)(some.words)
-    own = np.repeat(np.where(some.toxic, 0.0, some.share), np.diff(some.first)) * some.times
-    return Lexicon(keys, weight, BACKGROUND * float((own * np.append(weight, 0.0)[at]).sum() / max(1.0, own.sum())))
+    return Lexicon(keys, weight, BACKGROUND * some.background(keys, weight))
 
 
 def score_column(spark: SparkSession, own: Lexicon):
