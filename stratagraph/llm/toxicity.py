@@ -6,7 +6,8 @@ whose counts in labelled toxic and clean families differ most clearly (likelihoo
 words of the corpus, labelled or not, that have an edge to a toxic seed, stand near toxic seeds in ``MIN_CONTEXTS``
 different contexts (equal contexts are copies) and may count: labels or the corpus say that they lean to toxic. A word
 does if it is in at least ``MIN_SUPPORT`` toxic families and in more of them than of clean ones, or if at least
-``MIN_NEAR`` of its occurrences are near a toxic seed and labels don't speak against it. Edges join any two nodes and carry their positive pointwise mutual information,
+``MIN_NEAR`` of its occurrences are near a toxic seed and labels don't speak against it, and if in either case chance is
+no likely reason (a likelihood ratio of ``LEAN_RATIO``). Edges join any two nodes and carry their positive pointwise mutual information,
 less ``SHIFT``, within ``SPAN`` words, counted over the whole corpus. Two walks with restart, from the toxic and from the
 clean seeds, give each node two masses; its polarity weight is their difference over their sum (a toxic seed keeps the
 weight 1 that its labels give it). A document's score is the sum of the weights of its words that have at least
@@ -38,6 +39,7 @@ MIN_SUPPORT = 2.0
 MAX_SHARE = 0.2
 SEED_SUPPORT = 3.0
 SEED_RATIO = 18.0
+LEAN_RATIO = 10.8
 SPAN = 12
 MIN_JOINT = 3
 MIN_CONTEXTS = 3
@@ -223,6 +225,7 @@ def near_seeds(docs: DataFrame, toxic: np.ndarray, clean: np.ndarray, said: Data
                     near[y] = True
                 u, c = np.unique(h[near], return_counts=True)
                 parts.append((u, np.full(len(u), -3), c, np.zeros(len(u), np.int64)))
+                parts.append((np.zeros(1, U), np.full(1, -4), np.full(1, int(near.sum())), np.zeros(1, np.int64)))
                 held += 2 * len(u) + len(at) * 2 * SPAN
                 if held > 2_000_000:
                     parts, held = [summed(parts)], 0
@@ -240,13 +243,15 @@ def near_seeds(docs: DataFrame, toxic: np.ndarray, clean: np.ndarray, said: Data
     rows = small.select("text").mapInArrow(count, "w bigint, s bigint, c bigint, bits bigint").repartition("w").groupBy("w", "s").agg(F.sum("c").alias("c"), F.expr("bit_or(bits)").alias("bits"))
     rows = rows.select("*", *(F.max(F.when(F.col("s") == k, F.col("c"))).over(Window.partitionBy("w")).alias(c) for k, c in ((-1, "own"), (-3, "near"))))
     hash_of = np.union1d(toxic, clean).view(np.int64).tolist()
-    rows = base.written(rows.where(f"s = -2 or c >= {MIN_JOINT} or w in ({','.join(map(str, hash_of))})"), "seedwords")
+    rows = base.written(rows.where(f"s in (-2, -4) or c >= {MIN_JOINT} or w in ({','.join(map(str, hash_of))})"), "seedwords")
     known = {r.w: r.c for r in rows.where(F.col("s") == -1).where(F.col("w").isin(hash_of)).collect()}
     n_words = (rows.where("s = -2").agg(F.sum("c")).first()[0]) or 1
     own = docs.sparkSession.createDataFrame([(k, float(known.get(x, 0))) for k, x in enumerate(toxic.view(np.int64).tolist())], "s bigint, own_seed double")
     edges = rows.where(f"s >= 0 and c >= {MIN_JOINT}").join(own, "s").where(F.log(F.col("c") * n_words / (F.col("own_seed") * (2 * SPAN) * F.col("own"))) > SHIFT)
-    got = edges.groupBy("w").agg(F.expr("bit_count(bit_or(bits))").alias("n"), F.max(F.coalesce("near", F.lit(0)) / F.col("own")).alias("share"), F.max("own").alias("own")).where(F.col("n") >= MIN_CONTEXTS)
-    got = got.join(said, "w", "left").where(F.coalesce("rare", F.lit(True)) & (F.coalesce("leans", F.lit(False)) | ((F.col("share") >= MIN_NEAR) & ~F.coalesce("against", F.lit(False))))).select("w", "own").toArrow()
+    n_near = float(rows.where("s = -4").agg(F.sum("c")).first()[0] or 0)
+    got = edges.groupBy("w").agg(F.expr("bit_count(bit_or(bits))").alias("n"), F.max(F.coalesce("near", F.lit(0))).alias("near"), F.max("own").alias("own")).where(F.col("n") >= MIN_CONTEXTS)
+    by_corpus = (F.col("near") >= MIN_NEAR * F.col("own")) & (lean(F.col("near"), F.col("own") - F.col("near"), n_near, n_words - n_near) >= LEAN_RATIO)
+    got = got.join(said, "w", "left").where(F.coalesce("rare", F.lit(True)) & (F.coalesce("leans", F.lit(False)) | (by_corpus & ~F.coalesce("against", F.lit(False))))).select("w", "own").toArrow()
     shared.destroy()
     w = got.column("w").to_numpy().view(U)
     order = np.argsort(w)
@@ -355,7 +360,7 @@ def lexicon(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Lex
         return Lexicon(np.zeros(0, U), np.zeros(0))
     clean = np.setdiff1d(_words(sums.where("g < 0").orderBy("g", "w").limit(max(10, len(toxic)))), toxic)
     seeds = np.union1d(toxic, clean)
-    said = sums.select("w", rare.alias("rare"), (rare & (F.col("bad") >= MIN_SUPPORT) & (F.col("bad") > F.col("good"))).alias("leans"), (F.col("good") >= F.col("bad")).alias("against"))
+    said = sums.select("w", rare.alias("rare"), (rare & (F.col("bad") >= MIN_SUPPORT) & (F.col("bad") > F.col("good")) & (F.col("g") >= LEAN_RATIO)).alias("leans"), (F.col("good") >= F.col("bad")).alias("against"))
     near, near_own, seed_own, n_words = near_seeds(docs, toxic, clean, said)
     h = np.union1d(seeds, near)
     own = np.zeros(len(h))
