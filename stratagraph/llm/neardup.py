@@ -5,15 +5,20 @@ Document frequencies cover the whole corpus, in a hashed table of ``1 << DF_BITS
 the shingles that share it, on average (shingles per text) / (counters) of N at any corpus size. Each text gets
 ``BANDS * ROWS`` consistent weighted samples; texts with the same samples in a band are candidates; a candidate pair
 counts if the weighted Jaccard similarity of the two sets, computed in full, is at least ``THRESHOLD``. Groups are the
-connected components of these pairs. Pairs that could not change a component any more are not compared, so a group of
-thousands costs its size, not its square; no bucket is cut or dropped.
+connected components of the verified pairs.
 
 Texts with the same words in the same order are one node throughout, so masses of exact copies never meet in a task.
-Their groups' shuffles carry ids and hashes; only one text of each node that has a candidate is sent to be compared.
+Pairs are verified before anything is connected, in two steps. First each member of a bucket is compared with the
+bucket's lowest node: a pair a member, joined with both texts and compared in Arrow batches, so that neither a hot bucket
+nor a large component is ever in one task. What is near is connected. Then, in buckets that still hold several
+components, every member outside the lowest node's component is compared with all members of other components, in blocks
+of ``BLOCK`` bytes of text on either side: no candidate pair between components is left out. Pairs within a component
+are not compared, they could not change it: a group of thousands costs its size, not its square.
 
 Defined results: texts without a word (null, empty, punctuation only) are equal to nothing and stay. The lowest id of a
-group stays (a null id before others, then the lowest text hash); of repeated rows one stays. Other columns are not
-read, by keep_one() passed on as they are. An empty table gives no rows.
+group stays (a null id before others, then the lowest text hash); of repeated rows one stays. n_links counts the verified
+links of the row's text to others; copies of a text have the same links. Other columns are not read, by keep_one() passed
+on as they are. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,17 +28,18 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.llm import base
-from stratagraph.llm.textbytes import BASE, distinct_per_row, gram_hashes, mix, windows, words
+from stratagraph.llm.textbytes import BASE, WINDOW, arrow_bytes, distinct_per_row, gram_hashes, mix, owner, windows, words
 
 SHINGLE = 2
 BANDS, ROWS = 10, 3
 THRESHOLD = 0.6
 DF_BITS = 21
 BLOCK_BITS = 15
+BLOCK = 1 << 21
 U = np.uint64
 
 
@@ -123,12 +129,12 @@ def weighted(data: np.ndarray, off: np.ndarray, idf: np.ndarray):
 
 
 def signatures(small: DataFrame, idf, bands: int, rows: int) -> DataFrame:
-    """(doc_id, th, c1, c2, bands): per row the text's own hash, two hashes of its words, and one hash per band (null without words)."""
+    """(doc_id, th, size, c1, c2, bands): per row the text's own hash and bytes, two hashes of its words, and one hash per band (null without words)."""
 
     def sign(batches):
         for b in batches:
             c1, c2, sig, some = [], [], [], []
-            for _, _, data, off in windows(b.column(2)):
+            for _, _, data, off in windows(b.column(3)):
                 g, w, first, one, two = weighted(data, off, idf.value)
                 s = samples(g, w, first, bands * rows).reshape(-1, bands, rows)
                 h = np.zeros(s.shape[:2], U)
@@ -143,9 +149,9 @@ def signatures(small: DataFrame, idf, bands: int, rows: int) -> DataFrame:
             flat = np.concatenate(sig).reshape(-1).view(np.int64) if n else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(flat), mask=pa.array(none))
             make = lambda x: pa.array(np.concatenate(x).view(np.int64) if n else np.zeros(0, np.int64), mask=none)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), make(c1), make(c2), lists], ["doc_id", "th", "c1", "c2", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], make(c1), make(c2), lists], ["doc_id", "th", "size", "c1", "c2", "bands"])
 
-    return small.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(sign, f"doc_id {base.id_type(small)}, th bigint, c1 bigint, c2 bigint, bands array<bigint>")
+    return small.select("doc_id", F.xxhash64("text").alias("th"), F.octet_length("text").cast("bigint").alias("size"), "text").mapInArrow(sign, f"doc_id {base.id_type(small)}, th bigint, size bigint, c1 bigint, c2 bigint, bands array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -172,97 +178,153 @@ def similarities(h: np.ndarray, w: np.ndarray, others: list[tuple[np.ndarray, np
     return inter / (w.sum(dtype=np.float64) + np.add.reduceat(cat_w.astype(np.float64), first) - inter)
 
 
-def clusters(sets: list[tuple[np.ndarray, np.ndarray]], bands: list[list[int]], threshold: float) -> list[int]:
-    """The component of each set (its lowest member) among pairs that share a band and are similar enough."""
-    up = list(range(len(sets)))
+def pair_similarities(one: pa.Array, two: pa.Array, idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of the texts in each row."""
+    sizes = np.diff(arrow_bytes(one)[1]) + np.diff(arrow_bytes(two)[1])
+    cut = np.flatnonzero(np.diff(np.cumsum(sizes) // WINDOW, prepend=0)) if len(sizes) else []
+    out = [np.zeros(0)]
+    for a, b in zip([0, *cut], [*cut, len(one)]):
+        if a == b:
+            continue
+        g, w, row = [], [], []
+        for column in (one, two):
+            x, y, first, _, _ = weighted(*_local(column.slice(a, b - a)), idf)
+            g.append(x)
+            w.append(y.astype(np.float64))
+            row.append(owner(first))
+        g, w, row = np.concatenate(g), np.concatenate(w), np.concatenate(row)
+        total = np.bincount(row, w, b - a)
+        order = np.lexsort((g, row))
+        g, w, row = g[order], w[order], row[order]
+        same = np.flatnonzero((g[1:] == g[:-1]) & (row[1:] == row[:-1]))
+        inter = np.bincount(row[same], np.minimum(w[same], w[same + 1]), b - a)
+        out.append(inter / np.maximum(1e-12, total - inter))
+    return np.concatenate(out)
+
+
+def _local(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, off = arrow_bytes(column)
+    return data[off[0] : off[-1]], off - off[0]
+
+
+def cross(n: int, node: list[int], comp: list[int], apart: list[bool], bands: list[list[int]], band: int, sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> list[tuple[int, int]]:
+    """The near pairs of one of the first n rows and one of the others, whose components differ and that share no band before the given one. Where both are apart from their bucket's lowest, the pair is met twice and compared once. What joins two components saves later comparisons between them."""
+    up = {c: c for c in comp}
 
     def root(x: int) -> int:
         while up[x] != x:
             up[x] = x = up[up[x]]
         return x
 
-    def compare(x: int, some: list[int]) -> None:
-        done = seen.setdefault(x, set())
-        some = [y for y in some if y not in done and root(y) != root(x)]
-        for a in range(0, len(some), 256):
-            part = some[a : a + 256]
-            done.update(part)
-            for y in np.array(part)[similarities(*sets[x], [sets[y] for y in part]) >= threshold].tolist():
-                p, q = sorted((root(x), root(y)))
-                up[q] = p
-
-    seen: dict[int, set] = {}
-    buckets: dict[tuple[int, int], list[int]] = {}
-    for i, own in enumerate(bands):
-        for k, v in enumerate(own):
-            buckets.setdefault((k, v), []).append(i)
-    for members in buckets.values():
-        rest = members
-        while len(rest) > 1:  # after each round, the first is compared with all that are not yet of its component
-            compare(rest[0], rest[1:])
-            top = root(rest[0])
-            inside = [x for x in rest if root(x) == top]
-            outside = [x for x in rest if root(x) != top]
-            for x in inside[1:]:
-                if not outside:
-                    break
-                compare(x, outside)
-                outside = [y for y in outside if root(y) != root(x)]
-            rest = outside
-    return [root(i) for i in range(len(sets))]
-
-
-def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, th, group_id, group_size, keep, n_same), one row per input row: the lowest id of the row's group, the group's size, whether this row stays; th is xxhash64 of the text, n_same how many rows have this id and text."""
-    small = base.id_and_text(docs)
-    spark = small.sparkSession
-    df, n = document_frequencies(small)
-    idf = spark.sparkContext.broadcast(idf_table(df, n))
-    sig = base.written(signatures(small, idf, bands, rows), "signatures")
-    worded = sig.where("c1 is not null")
-    lowest = F.struct(F.col("doc_id").isNotNull().alias("x"), "doc_id", "th")
-    nodes = base.written(worded.groupBy("c1", "c2").agg(F.min(lowest).alias("low"), F.first("bands").alias("bands")), "nodes")
-    bucket = nodes.select("c1", F.posexplode("bands").alias("k", "v"))
-    edges = bucket.withColumn("b", F.min("c1").over(Window.partitionBy("k", "v"))).where("c1 <> b").select(F.col("c1").alias("a"), "b").distinct()
-    comp = components(edges)
-    wanted = nodes.join(comp.withColumnRenamed("node", "c1"), "c1").select("c1", "c2", "bands", "comp", F.col("low.doc_id").alias("d"), F.col("low.th").alias("t"))
-    text = small.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    found = text.join(wanted.hint("shuffle_hash"), text["doc_id"].eqNullSafe(wanted["d"]) & (text["th"] == wanted["t"])).select("comp", "c1", "c2", "bands", "text")
+    found = []
+    for x in range(n):
+        todo = [y for y in range(n, len(node)) if comp[y] != comp[x] and not (apart[y] and node[y] < node[x]) and all(p != q for p, q in zip(bands[x][:band], bands[y][:band]))]
+        for a in range(0, len(todo), 256):
+            part = [y for y in todo[a : a + 256] if root(comp[y]) != root(comp[x])]
+            if part:
+                for k in np.flatnonzero(similarities(*sets[x], [sets[y] for y in part]) >= threshold).tolist():
+                    found.append((x, part[k]))
+                    p, q = sorted((root(comp[x]), root(comp[part[k]])))
+                    up[q] = p
+    return found
+
+
+def near_stars(members: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """(a, b): members of buckets that are near the bucket's lowest node; one comparison a pair of nodes, however many buckets they share."""
+    pairs = members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
+
+    def verify(batches):
+        for x in batches:
+            yield x.filter(pa.array(pair_similarities(x.column(2), x.column(3), idf.value) >= threshold)).select(["a", "b"])
+
+    return both.mapInArrow(verify, "a bigint, b bigint")
+
+
+def near_rest(members: DataFrame, comp: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame | None:
+    """(a, b): near pairs of different components that share a bucket; None if no bucket of three or more holds several components."""
+    own = members.where("n > 2").join(comp, "node", "left").join(comp.select(F.col("node").alias("low"), F.col("comp").alias("top")), "low", "left")
+    own = base.written(own.select("k", "v", "node", "size", F.coalesce("comp", "node").alias("comp"), F.coalesce("top", "low").alias("top")).withColumn("apart", F.expr("comp <> top")), "members")
+    blocks = lambda x: F.greatest(F.lit(1).cast("bigint"), F.ceil(F.sum(x) / BLOCK))
+    open_ones = own.groupBy("k", "v").agg(blocks(F.when(F.col("apart"), F.col("size"))).alias("n_some"), blocks("size").alias("n_all"), F.bool_or("apart").alias("any")).where("any").drop("any")
+    if open_ones.isEmpty():
+        return None
+    rows = own.join(open_ones, ["k", "v"])
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    some = rows.where("apart").select("k", "v", block("n_some").alias("i"), each("n_all").alias("j"), "node", "comp", "apart", F.lit(True).alias("first"))
+    every = rows.select("k", "v", each("n_some").alias("i"), block("n_all").alias("j"), "node", "comp", "apart", F.lit(False).alias("first"))
+    full = some.unionByName(every).join(texts, "node")
 
     def verify(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("c1", "ascending"), ("c2", "ascending")]).combine_chunks()
-        c1, c2 = table.column("c1").to_numpy(), table.column("c2").to_numpy()
-        once = np.flatnonzero(np.append(True, (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])))
-        table = table.take(pa.array(once))
+        table = table.sort_by([("first", "descending"), ("node", "ascending")]).combine_chunks()
         sets = []
         for _, _, data, off in windows(table.column("text").combine_chunks()):
             g, w, first, _, _ = weighted(data, off, idf.value)
             sets += [(g[a:b], w[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-        top = np.array(clusters(sets, table.column("bands").to_pylist(), threshold), np.int64)
-        own = np.arange(len(top))
-        size = np.bincount(top, minlength=len(top))[top]
-        some = own[size > 1]
-        return pa.table({"c1": table.column("c1").take(pa.array(some)), "c2": table.column("c2").take(pa.array(some)), "r1": table.column("c1").take(pa.array(top[some])), "r2": table.column("c2").take(pa.array(top[some]))})
+        node, comp, apart, bands = (table.column(c).to_pylist() for c in ("node", "comp", "apart", "bands"))
+        found = cross(int(np.sum(table.column("first").to_numpy())), node, comp, apart, bands, table.column("k")[0].as_py(), sets, threshold)
+        return pa.table({"a": pa.array([node[x] for x, _ in found], pa.int64()), "b": pa.array([node[y] for _, y in found], pa.int64())})
+
+    return full.groupBy("k", "v", "i", "j").applyInArrow(verify, "a bigint, b bigint").distinct()
 
-    near = found.groupBy("comp").applyInArrow(verify, "c1 bigint, c2 bigint, r1 bigint, r2 bigint")
-    rows_of = worded.join(near, ["c1", "c2"], "left").select("doc_id", "th", F.coalesce("r1", "c1").alias("g1"), F.coalesce("r2", "c2").alias("g2"))
-    group = Window.partitionBy("g1", "g2")
-    ordered = group.orderBy(F.col("doc_id").asc_nulls_first(), "th")
-    grouped = rows_of.select("doc_id", "th", F.first("doc_id").over(ordered).alias("group_id"), F.count("*").over(group).alias("group_size"), (F.row_number().over(ordered) == 1).alias("keep"), F.count("*").over(Window.partitionBy("g1", "g2", "doc_id", "th")).alias("n_same"))
-    alone = sig.where("c1 is null").select("doc_id", "th", F.col("doc_id").alias("group_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("keep"), F.lit(1).cast("bigint").alias("n_same"))
-    return grouped.unionByName(alone)
+
+def clustered(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """groups() with a row number rid; and (rid, n_same) of the lowest of each set of rows with one id and text, if it has several."""
+    small = base.id_and_text(docs)
+    df, n = document_frequencies(small)
+    idf = small.sparkSession.sparkContext.broadcast(idf_table(df, n))
+    sig = base.written(signatures(small, idf, bands, rows).withColumn("rid", F.monotonically_increasing_id()), "signatures")
+    worded = sig.where("c1 is not null")
+    lowest = F.struct(F.col("doc_id").isNotNull().alias("x"), "doc_id", "th", "rid")
+    nodes = base.written(worded.groupBy("c1", "c2").agg(F.min(lowest).alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("size").alias("size")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    bucket = nodes.select("node", "size", F.posexplode("bands").alias("k", "v"))
+    sizes = bucket.groupBy("k", "v").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
+    members = base.written(bucket.join(sizes, ["k", "v"]), "buckets")
+    wanted = nodes.join(members.select("node").distinct(), "node").select("node", "bands", F.col("least.doc_id").alias("d"), F.col("least.th").alias("t"))
+    text = small.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    found = text.join(wanted.hint("shuffle_hash"), text["doc_id"].eqNullSafe(wanted["d"]) & (text["th"] == wanted["t"])).select("node", "bands", "text")
+    same = worded.groupBy("doc_id", "th").agg(F.min("rid").alias("rid"), F.count("*").alias("n_same")).where("n_same > 1").select("rid", "n_same")
+    texts = base.written(found if same.isEmpty() else found.groupBy("node").agg(F.first("bands").alias("bands"), F.first("text").alias("text")), "texts")
+    near = base.written(near_stars(members, texts, idf, threshold), "near")
+    comp = components(near)
+    rest = near_rest(members, comp, texts, idf, threshold)
+    if rest is not None:
+        rest = base.written(rest, "rest")
+        of = lambda c: F.coalesce(F.col(c), F.col(c[1:]))
+        ends = rest.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("_a")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("_b")), "b", "left")
+        joined = components(ends.select(of("_a").alias("a"), of("_b").alias("b")).where("a <> b"))
+        comp = comp.union(joined.select("node", F.col("node").alias("comp"))).distinct()  # nodes that only the rest links are their own component so far
+        comp = comp.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").groupBy("node").agg(F.min(F.coalesce("to", "comp")).alias("comp"))
+        near = near.union(rest.select("a", "b"))
+    links = near.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    linked = nodes.join(comp, "node").join(links, "node", "left")
+    of_group = linked.groupBy("comp").agg(F.min("least").alias("least"), F.sum("n").alias("size"))
+    linked = base.written(linked.drop("least", "n", "size").join(of_group, "comp").select("node", "least", "size", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links")), "linked")
+    whole = nodes.select("c1", "c2", "node", "least", "n").join(linked.select("node", F.col("least").alias("_l"), F.col("size").alias("_n"), "n_links"), "node", "left")
+    whole = whole.select("c1", "c2", F.coalesce("_l", "least").alias("least"), F.coalesce("_n", "n").alias("group_size"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+    grouped = worded.join(whole, ["c1", "c2"]).select("rid", "doc_id", "th", F.col("least.doc_id").alias("group_id"), "group_size", (F.col("rid") == F.col("least.rid")).alias("keep"), "n_links")
+    alone = sig.where("c1 is null").select("rid", "doc_id", "th", F.col("doc_id").alias("group_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("keep"), F.lit(0).cast("bigint").alias("n_links"))
+    return grouped.unionByName(alone), same
+
+
+def groups(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, th, group_id, group_size, keep, n_links), one row per input row: the lowest id of the row's group, how many rows the group has, whether this row stays, and the text's verified links; th is xxhash64 of the text."""
+    return clustered(docs, **how)[0].drop("rid")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The documents without all but one of each group, with all their columns, which travel as one struct, so that their names are free."""
-    stay = base.written(groups(docs, **how).where("keep").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "n_same").distinct(), "stay")
+    found, same = clustered(docs, **how)
+    stay = found.where("keep").join(same, "rid", "left").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.coalesce("n_same", F.lit(1).cast("bigint")).alias("n_same"))
+    stay = base.written(stay.distinct(), "stay")
     rows = docs.select(docs["doc_id"].alias("_i"), F.xxhash64(docs["text"].cast("string")).alias("_h"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     out = rows.join(stay.hint("shuffle_hash"), rows["_i"].eqNullSafe(stay["_d"]) & (rows["_h"] == stay["_t"]))
-    if not stay.where("n_same > 1").limit(1).count():
+    if stay.where("n_same > 1").isEmpty():
         return out.select("_row.*")
     once = out.where("n_same > 1").groupBy("_d", "_t").agg(F.first("_row").alias("_row"))
     return out.where("n_same = 1").select("_row").unionByName(once.select("_row")).select("_row.*")
 
 
 def op5_weighted_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(base.parquet(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size", "keep")
+    return groups(base.parquet(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_size", "keep", "n_links")
