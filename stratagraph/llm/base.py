@@ -2,37 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.ship import ship
+from stratagraph.tables import discard, kept, mark, shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="stratagraph-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: a side table that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/side/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """An eager checkpoint in the shared folder, for small tables in loops."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["discard", "id_and_text", "id_type", "kept", "mark", "parquet", "sample_order", "shared_dir", "written"]
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

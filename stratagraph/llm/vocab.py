@@ -10,10 +10,13 @@ Units are told apart by 64-bit hashes of their bytes.
 from __future__ import annotations
 
 import base64
+import os
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 
 from stratagraph.llm.textbytes import arrow_bytes, span_hashes, windows
 
@@ -22,12 +25,29 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 TABLE_UNITS = 1_000_000
 
 
+_sent: set[tuple[str, str]] = set()
+
+
+def ship(spark: SparkSession, path: str = VOCABULARY) -> None:
+    """Sends the vocabulary file to the executors, once per SparkContext; only the driver needs it at its path."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _sent:
+        spark.sparkContext.addFile(path)
+        _sent.add(key)
+
+
+def _at(path: str) -> str:
+    """The file on this machine: the one that was sent, else the path itself."""
+    own = os.path.join(SparkFiles.getRootDirectory(), os.path.basename(path)) if SparkFiles._is_running_on_worker else path
+    return own if os.path.exists(own) else path
+
+
 @lru_cache(2)
 def encoding(path: str = VOCABULARY):
     import tiktoken
 
     ranks = {}
-    with open(path, "rb") as f:
+    with open(_at(path), "rb") as f:
         for line in f:
             token, rank = line.split()
             ranks[base64.b64decode(token)] = int(rank)
