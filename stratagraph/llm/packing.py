@@ -3,7 +3,8 @@
 Each piece goes where the sum, over residual gaps, of the squared number of open bins with that gap becomes smallest;
 ties go to the fullest bin, a new bin last. The rule is sequential, so pieces are dealt to packing groups of about
 ``group_tokens`` tokens each (their number follows the corpus) and every group is packed by itself, in the order of id
-and piece. What a group wastes is its last open bins, a fixed number whatever the corpus.
+and piece. Rows of one id and length are counted first and told apart by a running number, so that an id that many rows
+have is dealt to all groups. What a group wastes is its last open bins, a fixed number whatever the corpus.
 
 Defined results: a document longer than the capacity is cut into full pieces, each a bin of its own, and a rest. Null and
 empty texts have no tokens: one row with n_tokens 0 and no bin. A repeated row is packed once per occurrence. A null id
@@ -21,11 +22,13 @@ from stratagraph.llm import base, vocab
 
 CAPACITY = 2048
 GROUP_TOKENS = 1 << 26
+COPIES = 1 << 16
 
 
 def token_counts(docs: DataFrame, vocabulary: str = vocab.VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens), one row per input row."""
     small = base.id_and_text(docs)
+    vocab.ship(small.sparkSession, vocabulary)
 
     def count(batches):
         for b in batches:
@@ -66,19 +69,22 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TO
     sized = base.written(token_counts(docs, vocabulary), "token-counts")
     total = sized.agg(F.sum("n_tokens")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
+    upto = lambda n, of, kind="bigint": F.explode(F.sequence(F.lit(0).cast(kind), F.floor((n - 1) / of).cast(kind)))
     pieces = (
-        sized.where("n_tokens > 0")
-        .select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), ((F.col("n_tokens") - 1) / capacity).cast("int"))).alias("piece"))
-        .select("doc_id", "piece", (F.col("piece").cast("bigint") * capacity).alias("token_start"), F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece").cast("bigint") * capacity).alias("n_tokens"))
-        .withColumn("grp", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "piece"), F.lit(groups)))
-    )
+        sized.where("n_tokens > 0").groupBy("doc_id", "n_tokens").agg(F.count("*").alias("n"))
+        .select("doc_id", "n_tokens", "n", upto(F.col("n"), COPIES).alias("c"))  # in two steps, as one id may have a third of all rows
+        .select("doc_id", "n_tokens", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(COPIES), F.col("n") - F.col("c") * COPIES) - 1)).alias("d"))
+        .select("doc_id", "n_tokens", (F.col("c") * COPIES + F.col("d")).alias("copy"), upto(F.col("n_tokens"), capacity, "int").alias("piece"))
+        .select("doc_id", "copy", "piece", (F.col("piece").cast("bigint") * capacity).alias("token_start"), F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece").cast("bigint") * capacity).alias("n_tokens"), F.col("n_tokens").alias("whole"))
+        .withColumn("grp", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "piece", "whole", "copy"), F.lit(groups)))
+    )
     kind = base.id_type(sized)
 
     def group(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("n_tokens", "ascending")])
+        table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("whole", "ascending"), ("copy", "ascending")])
         at = place(table.column("n_tokens").to_pylist(), capacity)
         first = table.column("grp")[0].as_py() << 32
-        return table.drop_columns(["grp"]).append_column("bin_id", pa.array([first + b for b, _ in at], pa.int64())).append_column("bin_offset", pa.array([o for _, o in at], pa.int64()))
+        return table.drop_columns(["grp", "whole", "copy"]).append_column("bin_id", pa.array([first + b for b, _ in at], pa.int64())).append_column("bin_offset", pa.array([o for _, o in at], pa.int64()))
 
     packed = pieces.groupBy("grp").applyInArrow(group, f"doc_id {kind}, piece int, token_start bigint, n_tokens bigint, bin_id bigint, bin_offset bigint")
     none = sized.where("n_tokens = 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("token_start"), "n_tokens", F.lit(None).cast("bigint").alias("bin_id"), F.lit(None).cast("bigint").alias("bin_offset"))
