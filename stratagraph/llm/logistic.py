@@ -18,7 +18,7 @@ class Sparse:
     size: int
 
     def __post_init__(self) -> None:
-        self.row = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        self.row = np.repeat(np.arange(len(self.first) - 1, dtype=np.int32), np.diff(self.first))
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.stack([np.bincount(self.row, self.value * w[self.index, k], minlength=len(self.first) - 1) for k in range(w.shape[1])], axis=1)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.llm import base
 from stratagraph.llm.logistic import Sparse, fit, platt, sigmoid
-from stratagraph.llm.textbytes import mix, pieces, row_sums, windows
+from stratagraph.llm.textbytes import arrow_bytes, mix, pieces, windows
 
 MAX_LABELLED = 4_000
 REJECT, GOOD = 0.5, 0.9
@@ -104,11 +104,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(2), pa.array(index, pa.binary()), pa.array(value, pa.binary())], ["id", "y", "i", "v"])
 
     got = labelled(docs, labels, label, most).select("doc_id", "text", "y").mapInArrow(count, "id string, y int, i binary, v binary").toArrow()
-    got = got.sort_by([("id", "ascending"), ("i", "ascending")])
-    index = [np.frombuffer(x, "<i4") for x in got.column("i").to_pylist()]
-    value = [np.frombuffer(x, "<f4") for x in got.column("v").to_pylist()]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in index])]).astype(np.int64)
-    return Sparse(np.concatenate([np.zeros(0, "<i4"), *index]), np.concatenate([np.zeros(0, "<f4"), *value]), first, SIZE), (got.column("y").to_numpy() > 0).astype(np.float64)
+    got = got.sort_by([("id", "ascending"), ("i", "ascending")]).combine_chunks()
+    (index, off), (value, _) = arrow_bytes(got.column("i")), arrow_bytes(got.column("v"))  # 4 bytes a feature in either
+    y = (got.column("y").to_numpy() > 0).astype(np.float64)
+    return Sparse(index[off[0] : off[-1]].view("<i4").copy(), value[off[0] : off[-1]].view("<f4").copy(), (off - off[0]) // 4, SIZE), y
 
 
 def train(x: Sparse, y: np.ndarray, l2: float = L2) -> Model:
