@@ -1,19 +1,26 @@
 """Operator 7, benchmark decontamination: Wu-Manber search for test strings in all texts at once.
 
-Texts and benchmark items are brought to the same form: letters folded, every run of ASCII characters that are not
-letters or digits one space, a space at either end. The test strings are all runs of ``ngram`` words of every item (the
-whole item where it is shorter), so an item is found in part, and only at word bounds. The shift table says, by the hash
-of a block of ``BLOCK`` bytes, how far a search may jump; where it says 0, the bucket of the suffix hash holds the test
-strings to compare byte by byte. Many places of a batch search at the same time: long texts are entered every ``LANE``
-bytes, with each entry responsible for the matches that end in its stretch.
+Texts and benchmark items are brought to the same form: letters folded, every run of characters that are no letters,
+digits or marks one space, a space at either end; characters of scripts without spaces are words of their own. The test
+strings are all runs of ``ngram`` words of every item (the whole item where it is shorter), so an item is found in part,
+and only at word bounds. The shift table says, by the hash of a block of ``BLOCK`` bytes, how far a search may jump; where
+it says 0, the bucket of the suffix hash holds the test strings to compare byte by byte. Many places of a batch search at
+the same time: long texts are entered every ``LANE`` bytes, with each entry responsible for the matches that end in its
+stretch.
+
+Test strings are kept as places in the items' text, about 50 bytes each, not as strings. The driver holds and sends the
+items' ids and texts, ``MOST_BYTES`` of text at most; each Python worker makes its tables of them once. A larger benchmark
+is searched in parts of that size, one after the other.
 
 Defined results: null and empty texts and items without a word match nothing; repeated items keep their own ids, rows
-with the same item_id are one item; repeated documents are found each. Columns besides id and text are not read. An
-empty table on either side gives no rows.
+with the same item_id (null too) are one item; ids may have any type; repeated documents are found each. Columns besides
+id and text are not read. An empty table on either side gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -22,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.llm import base
-from stratagraph.llm.textbytes import WORD, folded, mix, windows
+from stratagraph.llm.textbytes import WORD, arrow_bytes, folded, mix, runs, span_hashes, windows
 
 NGRAM = 10
 BLOCK = 6
@@ -57,32 +64,41 @@ def normal(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Patterns:
-    """Shift table, suffix buckets and the test strings with the items they come from."""
-
-    def __init__(self, items: list[tuple[object, str]], ngram: int = NGRAM) -> None:
-        grams: dict[bytes, set] = {}
-        self.total: dict[object, int] = {}
-        by_item: dict[object, set] = {}
-        for item, text in items:
-            data, _ = normal(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())]))
-            w = data.tobytes().split()
-            for a in range(max(1, len(w) - ngram + 1) if w else 0):
-                s = b" " + b" ".join(w[a : a + ngram]) + b" "
-                grams.setdefault(s, set()).add(item)
-                by_item.setdefault(item, set()).add(s)
-        self.total = {k: len(v) for k, v in by_item.items()}
-        self.strings = sorted(grams)
-        self.items = [sorted(grams[s], key=str) for s in self.strings]
-        self.m = m = min(map(len, self.strings), default=0)
+    """Shift table, suffix buckets and the test strings with the items they come from.
+
+    A test string is a place in ``text``, the items' normal forms one after the other; equal ones (by a 64-bit hash of
+    their bytes) are one. items and total go by the items' numbers.
+    """
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, number: np.ndarray, ngram: int = NGRAM) -> None:
+        """data, off: the items' texts; number: which item each is of, from 0."""
+        self.text, rows = normal(data, off)
+        starts, ends = runs(self.text != 32, rows)
+        first = np.searchsorted(starts, rows)
+        count = np.diff(first)
+        n = np.where(count > 0, np.maximum(1, count - ngram + 1), 0)
+        row = np.repeat(np.arange(len(count)), n)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        a = starts[first[row] + k] - 1 if len(row) else np.zeros(0, np.int64)
+        e = ends[first[row] + np.minimum(k + ngram, count[row]) - 1] + 1 if len(row) else np.zeros(0, np.int64)
+        h, at, same = np.unique(span_hashes(self.text, a, e), return_index=True, return_inverse=True) if len(row) else (np.zeros(0, U), *[np.zeros(0, np.int64)] * 2)
+        pairs = np.unique(np.stack([same, number[row]]), axis=1) if len(row) else np.zeros((2, 0), np.int64)  # (string, item)
+        self.starts, self.ends = a[at], e[at]
+        self.item_first, self.item_of = np.searchsorted(pairs[0], np.arange(len(h) + 1)), pairs[1]
+        self.total = np.bincount(pairs[1], minlength=int(number.max(initial=-1)) + 1)
+        self.m = m = int((self.ends - self.starts).min(initial=1 << 30)) if len(h) else 0
         self.block = b = min(BLOCK, m)
         self.shift = np.full(1 << TABLE_BITS, max(0, m - b + 1), np.int32)
-        self.bucket: dict[int, list[int]] = {}
-        for k, s in enumerate(self.strings):
-            head = np.frombuffer(s[:m], np.uint8)
-            for at, key in enumerate(self.keys(head, np.arange(m - b + 1) + b).tolist()):
-                self.shift[key] = min(self.shift[key], m - b - at)
-                if at == m - b:
-                    self.bucket.setdefault(key, []).append(k)
+        for d in range(m - b + 1) if len(h) else []:
+            key = self.keys(self.text, self.starts + d + b)
+            np.minimum.at(self.shift, key, m - b - d)
+        key = self.keys(self.text, self.starts + m) if len(h) else np.zeros(0, np.int64)
+        self.by_key = np.argsort(key, kind="stable")
+        self.bucket = np.searchsorted(key[self.by_key], np.arange((1 << TABLE_BITS) + 1)).astype(np.int32)
+        self.raw = self.text.tobytes()
+
+    def string(self, s: int) -> bytes:
+        return self.raw[self.starts[s] : self.ends[s]]
 
     def keys(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hash of the block that ends before each place."""
@@ -94,7 +110,7 @@ class Patterns:
     def search(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int]]:
         """(row, test string) of every occurrence in normal rows."""
         found: list[tuple[int, int]] = []
-        if not self.strings or not len(data):
+        if not len(self.starts) or not len(data):
             return found
         # an entry at e answers for places whose first m bytes end in [e, stop)
         spans = np.diff(off) - self.m + 1
@@ -112,8 +128,8 @@ class Patterns:
                 raw = raw or data.tobytes()
                 for e, r, b in zip(at[zero].tolist(), row[zero].tolist(), key[zero].tolist()):
                     a, end = e - self.m, int(off[r + 1])
-                    for s in self.bucket.get(b, ()):
-                        x = self.strings[s]
+                    for s in self.by_key[self.bucket[b] : self.bucket[b + 1]].tolist():
+                        x = self.raw[self.starts[s] : self.ends[s]]
                         if a + len(x) <= end and raw.startswith(x, a):
                             found.append((r, s))
             at = at + np.maximum(jump, 1)
@@ -122,65 +138,102 @@ class Patterns:
         return found
 
 
-def tables(benchmark: DataFrame, ngram: int = NGRAM, item_col: str = "item_id", most_bytes: int = MOST_BYTES) -> list[Patterns]:
-    """The benchmark's tables, each over whole items of about most_bytes of text, so that what is broadcast at once has a bound; a larger benchmark takes a pass over the texts for each."""
-    out: list[Patterns] = []
-    items: list[tuple[object, str]] = []
-    size = 0
-    for item, text in base.id_and_text(benchmark, item_col).orderBy(F.col("doc_id").asc_nulls_first(), "text").toLocalIterator():
-        if size >= most_bytes and item != items[-1][0]:
-            out.append(Patterns(items, ngram))
-            items, size = [], 0
-        items.append((item, text))
-        size += len((text or "").encode())
-    return [*out, Patterns(items, ngram)]
+@dataclass
+class Part:
+    """Some items of the benchmark: ids by number, and their texts."""
+
+    ids: pa.Array
+    number: np.ndarray
+    data: np.ndarray
+    off: np.ndarray
+    ngram: int
+
+
+def parts(benchmark: DataFrame, ngram: int = NGRAM, item_col: str = "item_id", most_bytes: int = MOST_BYTES) -> Iterator[Part]:
+    """The benchmark in parts of whole items, of about most_bytes of text each, one at a time; one empty part if there is nothing to find."""
+    small = base.id_and_text(benchmark, item_col).where("text <> ''")
+    sizes = small.groupBy(F.xxhash64(F.col("doc_id").cast("string")).alias("h")).agg(F.sum(F.octet_length("text")).alias("n"))
+    n = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // most_bytes))
+    for k in range(n):
+        got = small.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(n)) == k).orderBy(F.col("doc_id").asc_nulls_first(), "text").toArrow().combine_chunks()
+        ids = got.column("doc_id")
+        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+        try:
+            ids = ids.dictionary_encode("encode")
+            ids, number = ids.dictionary, ids.indices.to_numpy().astype(np.int64)
+        except pa.ArrowNotImplementedError:  # nested ids, in order
+            values = ids.to_pylist()
+            new = np.array([not k or values[k] != values[k - 1] for k in range(len(values))], bool)
+            ids, number = ids.take(pa.array(np.flatnonzero(new))), np.cumsum(new) - 1
+        data, off = arrow_bytes(got.column("text"))
+        yield Part(ids, number, data[off[0] : off[-1]], off - off[0], ngram)
+
+
+_made: dict[int, tuple[Part, Patterns]] = {}
+
+
+def patterns_of(shared) -> Patterns:
+    """This worker's tables of a broadcast part; those of the last part are kept."""
+    key = id(shared.value)
+    if key not in _made:
+        _made.clear()
+        p = shared.value
+        _made[key] = p, Patterns(p.data, p.off, p.number, p.ngram)
+    return _made[key][1]
+
+
+def _found(small: DataFrame, shared, kind: str) -> DataFrame:
+    def find(batches):
+        p, ids = patterns_of(shared), shared.value.ids
+        for b in batches:
+            rows, strings = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for first, _, data, off in windows(b.column(1)):
+                hits = np.array(p.search(*normal(data, off)), np.int64).reshape(-1, 2)
+                rows.append(first + hits[:, 0])
+                strings.append(hits[:, 1])
+            pair = np.stack([np.concatenate(rows), np.concatenate(strings)])
+            if pair.shape[1]:
+                pair = np.unique(pair, axis=1)  # a string counts once a text
+            n = np.diff(p.item_first)[pair[1]]
+            item = p.item_of[np.repeat(p.item_first[pair[1]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            hit, count = np.unique(np.stack([np.repeat(pair[0], n), item]), axis=1, return_counts=True) if len(item) else (pair, np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit[0])), ids.take(pa.array(hit[1])), pa.array(count), pa.array(count / np.maximum(1, p.total[hit[1]]) if len(p.total) else np.zeros(0))], ["doc_id", "item_id", "n_grams", "share"])
+
+    return small.mapInArrow(find, f"doc_id {base.id_type(small)}, item_id {kind}, n_grams bigint, share double")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, item_col: str = "item_id", most_bytes: int = MOST_BYTES) -> DataFrame:
-    """(doc_id, item_id, n_grams, share): for each document and item in it, how many of the item's test strings it has and their share."""
-    small = base.id_and_text(docs)
-    kind = benchmark.schema[item_col].dataType.simpleString()
-    item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-    def finder(shared):
-        def find(batches):
-            p = shared.value
-            for b in batches:
-                rows, item, n, share = [], [], [], []
-                for first, _, data, off in windows(b.column(1)):
-                    hits: dict[tuple[int, object], set] = {}
-                    for r, s in p.search(*normal(data, off)):
-                        for i in p.items[s]:
-                            hits.setdefault((first + r, i), set()).add(s)
-                    for (r, i), s in hits.items():
-                        rows.append(r)
-                        item.append(i)
-                        n.append(len(s))
-                        share.append(len(s) / p.total[i])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(item, item_type), pa.array(n, pa.int64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "n_grams", "share"])
-
-        return find
-
-    parts = [small.mapInArrow(finder(docs.sparkSession.sparkContext.broadcast(p)), f"doc_id {base.id_type(small)}, item_id {kind}, n_grams bigint, share double") for p in tables(benchmark, ngram, item_col, most_bytes)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def contaminated(benchmark: DataFrame, ngram: int = NGRAM, most_bytes: int = MOST_BYTES):
-    """A function from a text column to whether it holds a test string of any item. False for null and empty texts."""
-
-    def leaks_of(shared):
+    """(doc_id, item_id, n_grams, share): for each document and item in it, how many of the item's test strings it has and their share. Of several parts each is searched and written before the next is made."""
+    small, kind, out, before = base.id_and_text(docs), benchmark.schema[item_col].dataType.simpleString(), [], None
+    for part in parts(benchmark, ngram, item_col, most_bytes):
+        if before:
+            out.append(base.written(_found(small, before, kind), "matches"))
+            before.destroy()
+        before = docs.sparkSession.sparkContext.broadcast(part)
+    return reduce(DataFrame.unionByName, [*out, _found(small, before, kind)])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """The documents that hold no test string of any item, with all their columns; null and empty texts stay. Of several parts each is searched and what it leaves written before the next is made."""
+    before = None
+
+    def left(rows: DataFrame, shared) -> DataFrame:
         @F.arrow_udf("boolean")
         def leaks(text: pa.Array) -> pa.Array:
-            out = np.zeros(len(text), bool)
+            p, out = patterns_of(shared), np.zeros(len(text), bool)
             for first, _, data, off in windows(text):
-                for r, _s in shared.value.search(*normal(data, off)):
-                    out[first + r] = True
+                out[[first + r for r, _ in p.search(*normal(data, off))]] = True
             return pa.array(out)
 
-        return leaks
+        return rows.where(~leaks(rows["text"].cast("string")))
 
-    found = [leaks_of(benchmark.sparkSession.sparkContext.broadcast(p)) for p in tables(benchmark, ngram, most_bytes=most_bytes)]
-    return lambda text: reduce(lambda a, b: a | b, [f(text) for f in found])
+    base.id_and_text(docs)  # sends the package
+    for part in parts(benchmark, ngram, most_bytes=most_bytes):
+        if before:
+            docs = base.written(left(docs, before), "clean")
+            before.destroy()
+        before = docs.sparkSession.sparkContext.broadcast(part)
+    return left(docs, before)
 
 
 def op7_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

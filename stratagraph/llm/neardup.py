@@ -86,19 +86,21 @@ def samples(g: np.ndarray, weight: np.ndarray, first: np.ndarray, k: int) -> np.
     return out
 
 
-def document_frequencies(small: DataFrame) -> tuple[np.ndarray, int]:
+def document_frequencies(small: DataFrame, bits: int = DF_BITS) -> tuple[np.ndarray, int]:
     """The hashed table of document frequencies, and the number of texts with a word. Added up in two steps, so that no task gets more than about the root of the partitions' tables."""
 
+    wide_bits = min(bits, BLOCK_BITS)
+
     def count(batches):
-        table, n = np.zeros(1 << DF_BITS, np.int64), 0
+        table, n = np.zeros(1 << bits, np.int64), 0
         for b in batches:
             for _, _, data, off in windows(b.column(0)):
                 g, _, first, _, _ = shingles(data, off)
                 n += int((np.diff(first) > 0).sum())
-                table += np.bincount((g >> U(64 - DF_BITS)).astype(np.int64), minlength=1 << DF_BITS)
+                table += np.bincount((g >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
         part = TaskContext.get().partitionId()
         if n:
-            parts = table.astype(np.int32 if n < 1 << 31 else np.int64).reshape(-1, 1 << BLOCK_BITS)
+            parts = table.astype(np.int32 if n < 1 << 31 else np.int64).reshape(-1, 1 << wide_bits)
             wide = [x.astype(np.int64).tobytes() for x in parts]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(wide)), pa.int32()), pa.array([part] * len(wide), pa.int32()), pa.array([n] * len(wide), pa.int64()), pa.array(wide, pa.binary())], ["block", "part", "n", "counts"])
 
@@ -112,7 +114,7 @@ def document_frequencies(small: DataFrame) -> tuple[np.ndarray, int]:
     step = max(1, math.isqrt(max(1, small.rdd.getNumPartitions())))
     halfway = partial.groupBy("block", F.pmod("part", F.lit(step)).alias("_g")).applyInArrow(lambda t: add(t), schema)
     rows = halfway.groupBy("block").applyInArrow(lambda t: add(t), schema).collect()
-    table = np.zeros((1 << (DF_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.int64)
+    table = np.zeros((1 << (bits - wide_bits), 1 << wide_bits), np.int64)
     for r in rows:
         table[r["block"]] = np.frombuffer(r["counts"], np.int64)
     return table.reshape(-1), rows[0]["n"] if rows else 0
@@ -125,7 +127,7 @@ def idf_table(df: np.ndarray, n: int) -> np.ndarray:
 def weighted(data: np.ndarray, off: np.ndarray, idf: np.ndarray):
     """shingles() with weights in place of counts."""
     g, tf, first, one, two = shingles(data, off)
-    return g, tf.astype(np.float32) * idf[(g >> U(64 - DF_BITS)).astype(np.int64)], first, one, two
+    return g, tf.astype(np.float32) * idf[(g >> U(65 - len(idf).bit_length())).astype(np.int64)], first, one, two
 
 
 def signatures(small: DataFrame, idf, bands: int, rows: int) -> DataFrame:
@@ -269,10 +271,10 @@ def near_rest(members: DataFrame, comp: DataFrame, texts: DataFrame, idf, thresh
     return full.groupBy("k", "v", "i", "j").applyInArrow(verify, "a bigint, b bigint").distinct()
 
 
-def clustered(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+def clustered(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, df_bits: int = DF_BITS) -> tuple[DataFrame, DataFrame]:
     """groups() with a row number rid; and (rid, n_same) of the lowest of each set of rows with one id and text, if it has several."""
     small = base.id_and_text(docs)
-    df, n = document_frequencies(small)
+    df, n = document_frequencies(small, df_bits)
     idf = small.sparkSession.sparkContext.broadcast(idf_table(df, n))
     sig = base.written(signatures(small, idf, bands, rows).withColumn("rid", F.monotonically_increasing_id()), "signatures")
     worded = sig.where("c1 is not null")

@@ -159,15 +159,42 @@ def test_platt_and_temperature_calibrate():
 # 3 token-id index
 
 
-def test_index_round_trip(spark, odd):
-    shards = binary_index.build(odd, shard_bytes=50_000)
-    enc = vocab.encoding()
-    rows = [r.asDict() for r in shards.collect()]
+def test_index_round_trip(spark, odd, tmp_path):
+    binary_index.write(odd, str(tmp_path / "index"), shard_bytes=50_000)
+    index, enc = binary_index.Index(spark, str(tmp_path / "index")), vocab.encoding()
+    rows = [r.asDict() for r in index.shards.collect()]
+    assert len(rows) > 3 and {r["n_shards"] for r in rows} == {index.n_shards}
     assert sum(r["n_keys"] for r in rows) == odd.select("doc_id", F.coalesce("text", F.lit(""))).distinct().count()
     for key, text in list(enumerate(ODD))[:9] + [(None, "nobody")]:
-        assert binary_index.get(shards, key).tolist() == enc.encode(text or "", disallowed_special=())
-    both = {tuple(binary_index.get(shards, 9, k).tolist()) for k in (0, 1)}
-    assert both == {tuple(enc.encode(t)) for t in (ODD[9], "other")} and binary_index.get(shards, 777) is None and binary_index.get(shards, 9, 2) is None
+        assert index.get(key).tolist() == enc.encode(text or "", disallowed_special=())
+    both = {tuple(index.get(9, k).tolist()) for k in (0, 1)}
+    assert both == {tuple(enc.encode(t)) for t in (ODD[9], "other")} and index.get(777) is None and index.get(9, 2) is None
+
+
+def test_a_lookup_reads_one_shard(spark, odd, tmp_path):
+    binary_index.write(odd, str(tmp_path / "index"), shard_bytes=50_000)
+    index = binary_index.Index(spark, str(tmp_path / "index"))
+    plan = index.shard(3)._jdf.queryExecution().toString()
+    assert "EqualTo(shard,3)" in plan and "folder#" in plan and "= 0)" in plan.split("PartitionFilters")[1]
+    assert binary_index.Index(spark, _empty_index(spark, odd, tmp_path)).get(1) is None
+
+
+def _empty_index(spark, odd, tmp_path):
+    binary_index.write(odd.limit(0), str(tmp_path / "none"))
+    spark.createDataFrame([], binary_index.SCHEMA + ", folder int").write.mode("overwrite").parquet(str(tmp_path / "none"))
+    return str(tmp_path / "none")
+
+
+def test_a_key_of_many_texts_is_spread(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(binary_index, "RUN", 16)
+    texts = [f"text number {k}" for k in range(300)] + ["text number 7"] * 50
+    docs = docs_of(spark, texts + ["alone", None], [5] * 300 + [5] * 50 + [6, None])
+    binary_index.write(docs, str(tmp_path / "index"), shard_bytes=500)
+    index, enc = binary_index.Index(spark, str(tmp_path / "index")), vocab.encoding()
+    got = [index.get(5, k) for k in range(301)]
+    assert got[300] is None and sorted(enc.decode(x.tolist()) for x in got[:300]) == sorted(set(texts))
+    assert enc.decode(index.get(6).tolist()) == "alone" and index.get(None).tolist() == []
+    assert max(r.n_keys for r in index.shards.collect()) < 150
 
 
 def test_perfect_hash():
@@ -260,6 +287,60 @@ def test_near_duplicates_recall_and_precision(spark, documents):
         assert a == b
 
 
+def exact_groups(texts, threshold):
+    """Components of candidate pairs (a common band) that are similar enough, from the operator's bands and exact sets."""
+    data = [arrow_bytes(pa.array([t])) for t in texts]
+    df = np.zeros(1 << neardup.DF_BITS, np.int64)
+    for d in data:
+        g = neardup.shingles(*d)[0]
+        df += np.bincount((g >> U(64 - neardup.DF_BITS)).astype(np.int64), minlength=len(df))
+    idf = neardup.idf_table(df, len(texts))
+    sets, bands = [], []
+    for d in data:
+        g, w, first, _, _ = neardup.weighted(*d, idf)
+        sets.append((g, w))
+        s = neardup.samples(g, w, first, neardup.BANDS * neardup.ROWS).reshape(neardup.BANDS, neardup.ROWS)
+        bands.append([tuple(x) for x in s.tolist()])
+    up = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if any(p == q for p, q in zip(bands[i], bands[j])):
+                a, b = dict(zip(sets[i][0].tolist(), sets[i][1].tolist())), dict(zip(sets[j][0].tolist(), sets[j][1].tolist()))
+                if jaccard(a, b) >= threshold:
+                    x, y = i, j
+                    while up[x] != x:
+                        x = up[x]
+                    while up[y] != y:
+                        y = up[y]
+                    up[max(x, y)] = min(x, y)
+    out = []
+    for i in range(len(texts)):
+        while up[i] != i:
+            i = up[i]
+        out.append(i)
+    return out
+
+
+@pytest.mark.parametrize("bits", [8, 21])
+def test_no_candidate_pair_between_components_is_left_out(spark, monkeypatch, bits):
+    """Chains of versions, whose ends are unlike each other, in few large buckets; with few counters, as at a large corpus."""
+    rng = random.Random(3)
+    monkeypatch.setattr(neardup, "DF_BITS", bits)
+    monkeypatch.setattr(neardup, "BLOCK", 3000)
+    monkeypatch.setattr(neardup, "ROWS", 1)
+    texts = []
+    for _ in range(5):
+        w = [f"w{rng.randrange(400)}" for _ in range(90)]
+        for _ in range(14):
+            texts.append(" ".join(w))
+            for _ in range(9):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(10_000)}"
+    got = {r.doc_id: r for r in neardup.groups(docs_of(spark, texts), rows=1, df_bits=bits).collect()}
+    expected = exact_groups(texts, neardup.THRESHOLD)
+    assert [got[k].group_id for k in range(len(texts))] == expected and len(set(expected)) < len(texts) / 2
+    assert all((got[k].n_links > 0) == (expected.count(expected[k]) > 1) for k in range(len(texts)))
+
+
 def test_one_of_each_group_stays(spark, odd):
     kept = neardup.keep_one(odd)
     assert kept.columns == odd.columns
@@ -279,21 +360,74 @@ def test_samples_agree_as_often_as_the_sets_do():
 # 6 edit-aware counts
 
 
+POOL = ["word", " ", "\n", "x1", "élan", "  ", "don't", ",", "12345", " "]
+
+
+def random_edits(rng, text):
+    """Disjoint byte ranges on characters' bounds, in order, and what takes their place."""
+    cuts = sorted(rng.sample(range(len(text) + 1), min(len(text) + 1, 2 * rng.randint(0, 4)) // 2 * 2))
+    place = lambda k: len(text[:k].encode())
+    return [(place(a), place(min(b, a + 12)), rng.choice(["", "new", " new ", "\n", "é"]).encode()) for a, b in zip(cuts[::2], cuts[1::2])]
+
+
+def edited(raw, edits):
+    out, last = b"", 0
+    for a, b, new in edits:
+        out, last = out + raw[last:a] + new, b
+    return out + raw[last:]
+
+
 def test_counts_after_edits_are_those_of_the_edited_text():
-    rng = random.Random(2)
-    enc = vocab.encoding()
+    rng, enc = random.Random(2), vocab.encoding()
     count = lambda x: len(enc.encode(x.decode("utf-8", "replace"), disallowed_special=()))
-    pool = ["word", " ", "\n", "x1", "élan", "  ", "don't", ",", "12345", " "]
-    for _ in range(120):
-        text = "".join(rng.choice(pool) + rng.choice(["", " "]) for _ in range(rng.randint(0, 400))).encode()
-        (tree, _), = edit_counts.batch_trees(pa.array([text.decode()]), vocab.VOCABULARY)
-        for _ in range(4):
-            chars = text.decode()
-            a = rng.randint(0, len(chars))
-            b = min(len(chars), a + rng.randint(0, 12))
-            start, end = len(chars[:a].encode()), len(chars[:b].encode())
-            text, again = tree.edit(text, start, end, rng.choice(["", "new", " new ", "\n", "é"]).encode(), count)
-            assert tree.total == count(text) and int(tree.bytes[1]) == len(text)
+    for _ in range(200):
+        text = "".join(rng.choice(POOL) + rng.choice(["", " "]) for _ in range(rng.randint(0, 600)))
+        units, n_bytes, n_tokens, first = edit_counts.batch_trees(pa.array([text]), vocab.VOCABULARY)
+        tree = edit_counts.tree_of(n_bytes, edit_counts.heaps(n_tokens, first)[0])
+        assert tree.total == count(text.encode())
+        raw = text.encode()
+        for _ in range(3):
+            edits = random_edits(rng, raw.decode())
+            new, regions = tree.regions(raw, edits)
+            assert new == edited(raw, edits)
+            tree.put(regions, [count(new[x:y]) for _, _, x, y in regions])
+            raw = new
+            assert tree.total == count(raw) and int(tree.bytes[1]) == len(raw)
+
+
+def test_heaps_are_those_of_single_rows():
+    rng = np.random.default_rng(1)
+    n = np.array([1, 5, 8, 1, 3, 17])
+    first = np.concatenate([[0], np.cumsum(n)])
+    values = rng.integers(0, 9, first[-1])
+    sums, off = edit_counts.heaps(values, first)
+    for r in range(len(n)):
+        assert sums[off[r] : off[r + 1]].tolist() == edit_counts.heap(values[first[r] : first[r + 1]])[1:].tolist()
+
+
+def test_kept_trees_take_edits_without_encoding_the_rest(spark, tmp_path):
+    rng, enc = random.Random(9), vocab.encoding()
+    texts = ["".join(rng.choice(POOL) + " " for _ in range(3000)) for _ in range(6)] + ["", None, "short"]
+    edit_counts.build(docs_of(spark, texts)).write.parquet(str(tmp_path / "trees"))
+    state, now = spark.read.parquet(str(tmp_path / "trees")), [t or "" for t in texts]
+    for step in range(2):
+        edits = [random_edits(rng, t) for t in now]
+        table = spark.createDataFrame([(k, [(a, b, new.decode()) for a, b, new in e]) for k, e in enumerate(edits) if e], "doc_id bigint, edits array<struct<start: bigint, end: bigint, new: string>>")
+        state = edit_counts.recount(state.join(table, "doc_id", "left"), "edits", updated=True)
+        now = [edited(t.encode(), e).decode() for t, e in zip(now, edits)]
+        rows = {r.doc_id: r for r in state.collect()}
+        for k, t in enumerate(now):
+            assert rows[k].n_tokens_after == rows[k].n_tokens == len(enc.encode(t, disallowed_special=())) and sum(rows[k].leaf_bytes) == len(t.encode()) and (rows[k].text or "") == t
+            assert rows[k].reencoded_bytes <= 1500 * len(edits[k])
+        state.drop("n_edits", "n_tokens_after", "reencoded_bytes").write.parquet(str(tmp_path / f"trees{step}"))
+        state = spark.read.parquet(str(tmp_path / f"trees{step}"))
+
+
+def test_rows_that_may_have_edits():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab 12345678.-@é\n") for _ in range(rng.randint(0, 40))) for _ in range(800)]
+    may = edit_counts.may_scrub(pa.array([None, *texts]).slice(1))
+    assert all(may[k] for k, t in enumerate(texts) if edit_counts.scrub_edits(t.encode())) and not may.all()
 
 
 def test_scrubbed_counts(spark, odd):
@@ -314,28 +448,43 @@ def test_wu_manber_against_searching_each_string():
     word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 3)))
     items = [(k, " ".join(word() for _ in range(rng.randint(1, 6)))) for k in range(30)]
     texts = [" ".join(word() for _ in range(rng.randint(0, 900))) for _ in range(20)]
-    p = decontamination.Patterns(items, 3)
+    text = arrow_bytes(pa.array([t for _, t in items]))
+    p = decontamination.Patterns(*text, np.array([k for k, _ in items]), 3)
+    strings = [p.string(s).decode() for s in range(len(p.starts))]
+    for s, x in enumerate(strings):  # which items have it, and of how many
+        has = [k for k, t in items if x in {f" {' '.join(t.split()[a : a + 3])} " for a in range(max(1, len(t.split()) - 2))}]
+        assert p.item_of[p.item_first[s] : p.item_first[s + 1]].tolist() == has
+    assert p.total.tolist() == [len({" ".join(t.split()[a : a + 3]) for a in range(max(1, len(t.split()) - 2))}) for _, t in items]
     for t in texts:
         data, off = decontamination.normal(*arrow_bytes(pa.array([t])))
         raw = data.tobytes()
-        assert {p.strings[s] for _, s in p.search(data, off)} == {s for s in p.strings if s in raw}
+        assert {strings[s] for _, s in p.search(data, off)} == {s for s in strings if s.encode() in raw}
 
 
 def test_leaks(spark, odd):
     bench = spark.createDataFrame([(1, "One two three four five six seven eight nine ten eleven"), (2, None), (3, ""), (1, "One two")], "item_id bigint, text string")
     docs = docs_of(spark, ["say: ONE two, three four five six seven eight nine TEN!", "one two three four", None, "", "xone two three four five six seven eight nine ten"])
-    leaks = decontamination.contaminated(bench.where("item_id = 1 and length(text) > 10"))
-    assert [r.x for r in docs.orderBy("doc_id").select(leaks("text").alias("x")).collect()] == [True, False, False, False, False]
+    left = decontamination.clean(docs, bench.where("item_id = 1 and length(text) > 10"))
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 3, 4]
     assert {r.doc_id for r in decontamination.matches(docs, bench).collect()} == {0, 1}
+    assert decontamination.clean(odd, bench.limit(0)).count() == odd.count()
+
+
+@pytest.mark.parametrize("kind", ["smallint", "string", "decimal(10,2)", "date", "struct<a: bigint>"])
+def test_ids_of_any_type(spark, kind):
+    value = {"string": "'x'", "date": "date'2024-01-02'", "struct<a: bigint>": "named_struct('a', 1L)"}.get(kind, "3")
+    bench = spark.sql(f"SELECT CAST({value} AS {kind}) AS item_id, 'red blue green' AS text UNION ALL SELECT NULL, 'red blue' UNION ALL SELECT NULL, 'grey'" if "struct" not in kind else f"SELECT {value} AS item_id, 'red blue green' AS text")
+    got = decontamination.matches(docs_of(spark, ["a red blue green b", "red blue"]), bench).collect()
+    assert len(got) == (3 if "struct" not in kind else 1) and all(r.n_grams == 1 for r in got)
 
 
-def test_a_large_benchmark_in_several_tables(spark, documents):
+def test_a_large_benchmark_in_several_parts(spark, documents):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     bench = bench.union(bench.where("item_id = 1"))
-    assert len(decontamination.tables(bench, most_bytes=2000)) > 3
-    whole, parts = (rows_of(decontamination.matches(documents, bench, most_bytes=n)) for n in (1 << 20, 2000))
-    leaks = decontamination.contaminated(bench, most_bytes=2000)
-    assert whole == parts and documents.where(leaks("text")).count() == len({r[0] for r in whole[0]})
+    assert len(list(decontamination.parts(bench, most_bytes=2000))) > 3
+    whole, several = (rows_of(decontamination.matches(documents, bench, most_bytes=n)) for n in (1 << 20, 2000))
+    left = decontamination.clean(documents, bench, most_bytes=2000)
+    assert whole == several and left.count() == documents.count() - len({r[0] for r in whole[0]})
 
 
 # 8 sharding
@@ -345,7 +494,23 @@ def test_shards_are_contiguous_and_even(spark, odd):
     rows = sharding.assign(odd, 50_000).orderBy(F.col("doc_id").asc_nulls_first(), "byte_start", "n_bytes").collect()
     total, shards = sum(r.n_bytes for r in rows), max(1, -(-sum(r.n_bytes for r in rows) // 50_000))
     assert total == sum(len((r.text or "").encode()) for r in odd.collect()) and len(rows) == odd.count()
-    assert [r.shard for r in rows] == sorted(r.shard for r in rows) and max(r.shard for r in rows) == shards - 1 or shards > 1
+    size, at = -(-total // shards), 0
+    for r in rows:
+        assert r.byte_start == at and r.shard == min(at // size, shards - 1)
+        at += r.n_bytes
+    assert shards > 5 and [r.shard for r in rows] == sorted(r.shard for r in rows)
+
+
+def test_what_is_written_is_what_is_assigned(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, *range(5)]), "x" * rng.randrange(0, 3000) if k % 7 else None, k, k, k, k) for k in range(200)] + [(3, "same", 7, 7, 7, 7)] * 40
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, shard bigint, part int, _r int, byte_start int").repartition(5)
+    name = sharding.write(docs, str(tmp_path / "out"), 4000)
+    assert name == "shard_"
+    back = spark.read.parquet(str(tmp_path / "out"))
+    size = lambda r: (r.doc_id, len((r.text or "").encode()))
+    assert Counter(tuple(r)[:-1] for r in back.select(*docs.columns, name).collect()) == Counter(tuple(r) for r in docs.collect())
+    assert Counter((r[name], size(r)) for r in back.collect()) == Counter((r.shard, (r.doc_id, r.n_bytes)) for r in sharding.assign(docs, 4000).collect())
 
 
 # 9 toxicity
