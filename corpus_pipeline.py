@@ -29,8 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a test string of the benchmark."""
-    leaks = decontamination.contaminated(base.parquet(spark, sf_dir, "benchmark"))
-    return docs.where(~leaks(docs["text"].cast("string")))
+    return decontamination.clean(docs, base.parquet(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's side tables and its input, if it is a copy, are deleted when its result is written."""
     docs = base.parquet(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = base.written(stage(spark, docs, sf_dir), f"stage{k}")
+        since = base.mark()
+        result = base.written(stage(spark, docs, sf_dir), f"stage{k}")
+        base.discard(spark, since - (k > 0), keep=1)
+        docs = result
     return docs
