@@ -3,15 +3,15 @@
 Paragraphs are the lines of a text and, within a line, its sentences. Features are the words and pairs of neighbouring
 words of the licence passages, each as its share of the paragraph's; words that no passage has are one feature. The
 classifier is a softmax regression over the families and an unknown class. It is trained on the passages, on seeded
-variations of them (words left out, swapped or put in, pieces cut off) and, for the unknown class, on the passages'
-words in random order and on the paragraphs of at most ``MAX_NEGATIVES`` documents (a fixed pseudo-random choice) that
-resemble no passage. On a quarter of these rows that it was not fitted on, a temperature is fitted, so that its
-probabilities, that of unknown too, are calibrated. A paragraph whose best family has at least ``MIN_PROBABILITY`` is
-compared with that family's passages: it is confirmed if it holds ``MIN_SIMILARITY`` of the word pairs of one of them, or
-one holds as much of the paragraph (of at least ``MIN_WORDS`` words), as in wrapped lines.
+variations of them (words left out, swapped or put in, pieces cut off) and, for the unknown class, on word sequences that
+hold the passages' words in random order, from none to all of them; nothing of it depends on the corpus. On a quarter of
+these rows that it was not fitted on, a temperature is fitted, so that its probabilities, that of unknown too, are
+calibrated. A paragraph whose best family has at least ``MIN_PROBABILITY`` is compared with that family's passages: it is
+confirmed if it holds ``MIN_SIMILARITY`` of the word pairs of one of them, or one holds as much of the paragraph (of at
+least ``MIN_WORDS`` words), as in wrapped lines.
 
-Every paragraph of every text is scanned; only those with a pair of words from a passage are scored, as the others
-could not be confirmed.
+Every paragraph of every text is classified; those without any word of a passage have one and the same features, so that
+their class is worked out once.
 
 Defined results: null and empty texts have no paragraphs. A document with several licences gives a row for each, repeated
 rows of documents and repeated paragraphs give theirs. Columns besides id and text are not read. An empty table gives
@@ -33,7 +33,6 @@ from stratagraph.llm.logistic import Sparse, fit, softmax, temperature
 from stratagraph.llm.textbytes import distinct_per_row, gram_hashes, mix, owner, row_sums, windows, words
 from stratagraph.llm.toxicity import Lookup
 
-MAX_NEGATIVES = 400
 VARIATIONS = 30
 MIN_PROBABILITY = 0.5
 MIN_SIMILARITY = 0.6
@@ -116,14 +115,15 @@ class Templates:
         return np.where(self.family[None, :] == family[:, None], best, 0).max(axis=1, initial=0)
 
 
-def varied(seed: int = 11) -> tuple[list[str], list[int]]:
-    """Training paragraphs: the passages, variations of them, and shuffled words of them as unknown ones."""
+def varied(seed: int = 11, chosen: dict[str, list[str]] | None = None) -> tuple[list[str], list[int]]:
+    """Training paragraphs: the passages, variations of them, and their words in random order, among others, as unknown ones."""
     rng = np.random.default_rng(seed)
-    pool = sorted({w for f in FAMILIES for t in TEMPLATES[f] for w in t.split()})
+    chosen = chosen or TEMPLATES
+    pool = sorted({w for f in FAMILIES for t in chosen.get(f, []) for w in t.split()})
     filler = ["x" + "".join(rng.choice(list("abcdefghij"), 5)) for _ in range(400)]
     texts, y = [], []
     for k, f in enumerate(FAMILIES):
-        for t in TEMPLATES[f]:
+        for t in chosen.get(f, []):
             w = t.split()
             for v in range(VARIATIONS):
                 x = list(w)
@@ -136,10 +136,19 @@ def varied(seed: int = 11) -> tuple[list[str], list[int]]:
                         x.insert(int(rng.integers(0, 2)) * len(x), str(rng.choice(filler)))
                 texts.append(" ".join(x))
                 y.append(k)
-    for _ in range(len(texts) // 2):
-        mixed = [str(rng.choice(pool if rng.random() < 0.5 else filler)) for _ in range(int(rng.integers(2, 30)))]
-        texts.append(" ".join(mixed))
-        y.append(UNKNOWN)
+    often = [w for f in FAMILIES for t in chosen.get(f, []) for w in t.split()]
+    others = []
+    for k in range(2 * len(texts)):
+        known = rng.choice([0.0, 0.1, 0.2, 0.4, 0.6, 0.8, 1.0])
+        own = (pool, often)[k % 2]
+        others.append([str(rng.choice(own if rng.random() < known else filler)) for _ in range(int(rng.integers(1, 30)))])
+    for w in pool:  # a single word says little
+        for n in (0, 0, 0, 0, 1, 3, 8):
+            x = [str(z) for z in rng.choice(filler, n)]
+            x.insert(int(rng.integers(0, n + 1)), w)
+            others.append(x)
+    texts += [" ".join(x) for x in others]
+    y += [UNKNOWN] * len(others)
     return texts, y
 
 
@@ -149,49 +158,29 @@ class Model:
     bias: np.ndarray
     factor: float
 
+    def __post_init__(self) -> None:
+        """strangers: of paragraphs of 0, 1 and more words that no passage has, those that would still be classed as a licence."""
+        p = self.probabilities(Templates().rows(*of_texts(["", "xqzw", "xqzw xqzv"])))
+        self.strangers = np.flatnonzero(p[:, :UNKNOWN].max(axis=1) >= MIN_PROBABILITY)
+
     def probabilities(self, x: Sparse) -> np.ndarray:
         return softmax(self.factor * (x.times(self.weights) + self.bias))
 
 
-def negatives(docs: DataFrame, most: int = MAX_NEGATIVES) -> list[str]:
-    """Paragraphs of a bounded choice of documents that resemble no passage."""
-    small = base.id_and_text(docs)
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("negatives"))
-    ids = small.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), order.alias("o")).orderBy("o", "th").limit(most).select(F.col("doc_id").alias("d"), "th")
-    text = small.join(F.broadcast(ids), small["doc_id"].eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("th"))).select("doc_id", "text")
-
-    def cut(batches):
-        t = Templates()
-        for b in batches:
-            out: list[str] = []
-            for _, _, data, off in windows(b.column(1)):
-                at = paragraphs(data, off)
-                _, _, pair, firsts = grams(data, at)
-                known = row_sums(t.pairs(pair) >= 0, firsts)
-                raw = data.tobytes()
-                some = np.flatnonzero((np.diff(firsts) > 0) & (known <= 0.2 * np.diff(firsts)))
-                out += [raw[at[k] : at[k + 1]].decode("utf-8", "replace") for k in some.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["p"])
-
-    rows = text.mapInArrow(cut, "p string").distinct().orderBy(F.xxhash64("p"), "p").limit(10 * most).collect()
-    return [r[0] for r in rows]
-
-
-def train(others: list[str]) -> Model:
+def train(chosen: dict[str, list[str]] | None = None) -> Model:
     t = Templates()
-    texts, y = varied()
-    texts, y = texts + others, np.array(y + [UNKNOWN] * len(others))
-    x = t.rows(*of_texts(texts))
+    texts, y = varied(chosen=chosen)
+    x, y = t.rows(*of_texts(texts)), np.array(y)
     hot = np.eye(UNKNOWN + 1)[y]
-    held = np.arange(len(y)) % 4 == 3
+    held = np.random.default_rng(5).random(len(y)) < 0.25
     w, b = fit(x.rows(np.flatnonzero(~held)), hot[~held], L2)
     return Model(w, b, temperature(x.rows(np.flatnonzero(held)).times(w) + b, hot[held]))
 
 
-def scan(docs: DataFrame, most_negatives: int = MAX_NEGATIVES) -> DataFrame:
+def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, paragraph, family, probability, similarity, confirmed) for each paragraph that is classed as a licence; paragraph numbers count from 0 in a text."""
     small = base.id_and_text(docs)
-    shared = small.sparkSession.sparkContext.broadcast(train(negatives(docs, most_negatives)))
+    shared = small.sparkSession.sparkContext.broadcast(train())
 
     def run(batches):
         t, m = Templates(), shared.value
@@ -201,8 +190,9 @@ def scan(docs: DataFrame, most_negatives: int = MAX_NEGATIVES) -> DataFrame:
                 at = paragraphs(data, off)
                 if len(at) < 2:
                     continue
-                _, _, pair, firsts = grams(data, at)
-                some = np.flatnonzero(row_sums(t.pairs(pair) >= 0, firsts))
+                h, firsts, _, _ = grams(data, at)
+                known = row_sums(t.words(h) >= 0, firsts) > 0
+                some = np.flatnonzero(known | np.isin(np.minimum(2, np.diff(firsts)), m.strangers))
                 if not len(some):
                     continue
                 n = at[some + 1] - at[some]
