@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.llm import base
-from stratagraph.llm.textbytes import WORD, arrow_bytes, folded, mix, runs, span_hashes, windows
+from stratagraph.llm.textbytes import SPACELESS, WORD, arrow_bytes, lettered, mix, runs, span_hashes, windows
 
 NGRAM = 10
 BLOCK = 6
@@ -41,7 +41,7 @@ U = np.uint64
 
 def normal(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The normal form of each row, each with a space at either end, and the rows' offsets."""
-    low = folded(data)
+    low, off = lettered(data, off)
     low = np.where(WORD[low], low, 32).astype(np.uint8)
     n = len(low)
     keep = np.ones(n, bool)
@@ -240,7 +240,8 @@ def op7_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(base.parquet(spark, sf_dir, "documents"), base.parquet(spark, sf_dir, "benchmark"))
 
 
-_FORM = r"' ' || trim(regexp_replace(translate(lower(text), chr(0), ' '), '[\x01-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+', ' ', 'g')) || ' '"
+_ALONE = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in SPACELESS)
+_FORM = f"' ' || trim(regexp_replace(regexp_replace(translate(lower(text), chr(0), ' '), '([{_ALONE}])', ' \\1 ', 'g'), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g')) || ' '"
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, {_FORM} AS form FROM documents WHERE text IS NOT NULL),
 b AS (SELECT item_id, string_split(trim({_FORM}), ' ') AS w FROM benchmark WHERE text IS NOT NULL),

@@ -1,12 +1,14 @@
 """Whole Arrow batches of text as one byte array: windows of rows, words, hashes and n-grams without a loop over rows.
 
-Text is seen as UTF-8. Letters fold to lower case over ASCII and Latin-1 (two-byte 0xC3 letters); a word is a run of
-ASCII letters and digits and of any bytes from 0x80 on. A null text counts as an empty one. A window holds whole rows
+Text is seen as UTF-8. Letters fold to lower case; a word is a run of letters, digits and marks, and a character of a
+script without spaces is a word. ASCII and Latin-1 letters take a few table lookups a byte; rows with other characters go
+through Python's tables one by one. A null text counts as an empty one. A window holds whole rows
 and about ``size`` bytes; a longer row is a window of its own, so no text is cut.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +77,42 @@ def folded(data: np.ndarray) -> np.ndarray:
     return low
 
 
+class _Forms(dict):
+    """What stands for a character: its lower case, a space if it is no letter, digit or mark, spaces around one of a script without spaces. ASCII stays."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        if code < 128:
+            out = c
+        elif unicodedata.category(c)[0] not in "LNM":
+            out = " "
+        else:
+            out = f" {c} " if any(a <= code <= b for a, b in SPACELESS) else c.lower()
+        self[code] = out
+        return out
+
+
+#: Thai and Lao, Burmese, Khmer, kana, Chinese characters.
+SPACELESS = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+_FORMS = _Forms()
+
+
+def lettered(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """folded(), with other rows than those of ASCII and Latin-1 letters brought to the same form, in which bytes from 0x80 on are word characters; and the rows' offsets in it."""
+    wide = (data >= 0xC4) | (data == 0xC2)
+    wide[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    at = np.flatnonzero(wide)
+    low = folded(data)
+    if not len(at):
+        return low, off
+    sizes, parts, last = np.diff(off), [], 0
+    for r in np.unique(np.searchsorted(off, at, "right") - 1).tolist():
+        form = data[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace").translate(_FORMS).encode()
+        parts += [low[last : off[r]], LOWER[np.frombuffer(form, np.uint8)]]
+        sizes[r], last = len(form), off[r + 1]
+    return np.concatenate([*parts, low[last:]]), np.concatenate([[0], np.cumsum(sizes)])
+
+
 def runs(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True, broken at the rows' starts."""
     n = len(mask)
@@ -100,7 +138,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def words(data: np.ndarray, off: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each word: start, end, hash; and of each row and the end: its first word's number."""
-    low = folded(data) if fold else data
+    low, off = lettered(data, off) if fold else (data, off)
     starts, ends = runs(WORD[low], off)
     return starts, ends, span_hashes(low, starts, ends), np.searchsorted(starts, off)
 

@@ -75,6 +75,16 @@ def test_units_with_wrong_bytes_leave_their_neighbours_alone():
     assert vocab.batch_counts(col).tolist() == [len(enc.encode(x.decode("utf-8", "replace"))) for x in raw]
 
 
+def test_words_of_other_scripts():
+    texts = ["ΑΒΓ “Größe”—naïve\u00a0x", "plain ASCII", "東京abcは 2×3", None, "นี่ ПРИВЕТ мир"]
+    data, off = arrow_bytes(pa.array(texts))
+    _, _, h, first = words(data, off)
+    again = ["αβγ größe naïve x", "plain ascii", "東 京 abc は 2 3", "", "น ี ่ привет мир"]
+    data, off = arrow_bytes(pa.array(again))
+    _, _, h2, first2 = words(data, off)
+    assert h.tolist() == h2.tolist() and first.tolist() == first2.tolist() and first[-1] == 4 + 2 + 6 + 5
+
+
 def test_windows_hold_whole_rows():
     col = pa.array(["ab", None, "c" * 100, "", "d"]).slice(1)
     assert [(a, b, bytes(d)) for a, b, d, _ in windows(col, 10)] == [(0, 1, b""), (1, 2, b"c" * 100), (2, 4, b"d")]
@@ -580,10 +590,38 @@ def test_licences(spark):
 
 
 def test_licence_classifier_on_held_out_variations():
-    m, t = license_scan.train([]), license_scan.Templates()
+    m, t = license_scan.train(), license_scan.Templates()
     texts, y = license_scan.varied(seed=99)
     p = m.probabilities(t.rows(*license_scan.of_texts(texts)))
-    assert (p.argmax(axis=1) == np.array(y)).mean() >= 0.9
+    assert (p.argmax(axis=1) == np.array(y)).mean() >= 0.9 and not len(m.strangers)
+
+
+def test_licence_classifier_on_held_out_passages():
+    """Passages of which it has seen neither text nor variation, one of each family that has several; they share a few words with their family's others."""
+    right = []
+    for turn in range(3):
+        out = {f: p[turn % len(p)] for f, p in license_scan.TEMPLATES.items() if len(p) > 2}
+        m, t = license_scan.train({f: [x for x in p if x != out.get(f)] for f, p in license_scan.TEMPLATES.items()}), license_scan.Templates()
+        p = m.probabilities(t.rows(*license_scan.of_texts(list(out.values()))))
+        right += (p.argmax(axis=1) == [license_scan.FAMILIES.index(f) for f in out]).tolist()
+    assert np.mean(right) >= 0.25  # 13 families by chance: under 0.1
+
+
+def test_every_paragraph_is_classified(spark):
+    """The scan against the classifier, paragraph by paragraph."""
+    rng = random.Random(2)
+    pool = [w for f in license_scan.TEMPLATES.values() for x in f for w in x.split()] + ["stranger", "xyz"] * 30
+    texts = ["\n".join(rng.choice([" ".join(rng.choice(pool) for _ in range(rng.randint(1, 9))), rng.choice(pool), "", rng.choice(rng.choice(list(license_scan.TEMPLATES.values())))]) for _ in range(12)) for _ in range(20)]
+    m, t, expected = license_scan.train(), license_scan.Templates(), []
+    for k, text in enumerate(texts):
+        data, off = arrow_bytes(pa.array([text]))
+        cuts = license_scan.paragraphs(data, off)
+        for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            p = m.probabilities(t.rows(data[a:b], np.array([0, b - a])))[0]
+            if p[: license_scan.UNKNOWN].max() >= license_scan.MIN_PROBABILITY:
+                expected.append((k, n, license_scan.FAMILIES[int(p[: license_scan.UNKNOWN].argmax())]))
+    got = license_scan.scan(docs_of(spark, texts)).collect()
+    assert sorted((r.doc_id, r.paragraph, r.family) for r in got) == sorted(expected) and len(expected) > 40
 
 
 # all of them on odd and on empty tables
