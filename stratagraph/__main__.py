@@ -12,11 +12,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph import config as K
-from stratagraph.operators import history
+from stratagraph.operators import history, rules
 from stratagraph.plans import analysis
 from stratagraph.reports import render
+from stratagraph.sources import tree
 
-HISTORY = ".stratagraph/history"
+HISTORY, CACHE = ".stratagraph/history", ".stratagraph/cache"
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -32,11 +33,13 @@ def _parser() -> argparse.ArgumentParser:
             v.add_argument("--format", choices=formats, default=formats[0])
         return v
 
-    for v in (verb("analyze", ("text", "json", "markdown")), verb("check", ("text", "json"))):
+    for v in (verb("analyze", ("text", "json", "markdown")), verb("check", ("text", "json", "markdown"))):
         v.add_argument("--per-service", action="store_true")
         v.add_argument("--compact", action="store_true")
         v.add_argument("--score-only", action="store_true")
-        v.add_argument("--ignore", action="append", default=[])
+        v.add_argument("--ignore", action="append", default=[], help="rule ids, separated by commas")
+        v.add_argument("--package-cycles", action="store_true", help="look for cycles of packages, too")
+        v.add_argument("--incremental", action="store_true", help="take facts of unchanged files from the last run")
         v.add_argument("--fail-on", type=K.parse_severity)
         v.add_argument("--track", action="store_true")
         v.add_argument("--no-regression", action="store_true")
@@ -44,7 +47,9 @@ def _parser() -> argparse.ArgumentParser:
     d = verb("diagram", ("mermaid", "dot"))
     d.add_argument("--type", choices=("layers", "flow"), default="layers")
     d.add_argument("--packages", action="store_true", help="draw packages and their imports")
-    verb("forensics").add_argument("--output")
+    f = verb("forensics")
+    f.add_argument("--output")
+    f.add_argument("--project-root", help="the project that the path is a module of")
     return p
 
 
@@ -58,15 +63,19 @@ def _check(spark: SparkSession, a: analysis.Analysis, args: argparse.Namespace,
     text, code = render.check(a, args.fail_on, args.ignore)
     at = root / HISTORY
     if args.no_regression and at.is_dir():
-        before = history.read_history(spark, str(at)).withColumn("repo", F.lit("repo"))
+        before = history.read_history(spark, str(at)).withColumn("repo", F.coalesce("result.repo", F.lit("repo")))
         last = history.latest(before, ["repo"], ["ts"]).select("repo", F.col("result.score.overall").alias("overall"))
-        fell = history.regressions(last, a.summary.select(F.lit("repo").alias("repo"), "overall")).collect()
+        fell = history.regressions(last, a.summary.select("repo", "overall")).orderBy("repo").collect()
         if fell:
-            text, code = f"The score fell from {fell[0].before:.1f} to {fell[0].after:.1f}.\n{text.replace('PASSED', 'FAILED')}", 1
+            lines = [f"The score of {r.repo} fell from {r.before:.1f} to {r.after:.1f}.\n" for r in fell]
+            text, code = "".join(lines) + text.replace("PASSED", "FAILED"), 1
     if args.track:  # after the comparison, so that a run is not compared with itself
-        history.append_history(history.snapshots(a.summary, a.violations, datetime.now(UTC).isoformat(), *K.git_state(root)), str(at))
+        history.append_history(history.snapshots(a.summary, a.violations, datetime.now(UTC).isoformat(), *K.git_state(root), a.files, a.package_metrics, a.patterns), str(at))
     if args.format == "json":
-        text = json.dumps({"passed": not code, "messages": text.splitlines()[:-1]}) + "\n"
+        counts = {r.repo: {k: r[k] for k in r.asDict() if k != "repo"} for r in a.violation_kinds().collect()}
+        text = json.dumps({"passed": not code, "messages": text.splitlines()[:-1], "counts": counts}) + "\n"
+    elif args.format == "markdown":
+        text = render.check_markdown(a, not code, args.fail_on, args.ignore)
     return text, code
 
 
@@ -90,19 +99,36 @@ def main(argv: list[str] | None = None) -> int:
 
         cfg = replace(cfg, languages=tuple(args.languages.split(",")))
     spark = _session()
+    if hasattr(args, "ignore"):
+        args.ignore = [r.strip() for x in args.ignore for r in x.split(",") if r.strip()]
+    if not cfg.languages:
+        from dataclasses import replace
+
+        cfg = replace(cfg, languages=tuple(tree.detect_languages(tree.scan(spark, str(path)).select("path"))))
     if args.verb in ("analyze", "check") and args.per_service:
-        a, total, shared = analysis.per_service(spark, str(path), cfg)
-        code = render.check(a, args.fail_on)[1] if args.verb == "check" else 0
-        print(render.services(a, total, shared, args.format if args.verb == "analyze" else "text"), end="")
+        a, total, shared = analysis.per_service(spark, str(path), cfg, cycles="packages" if args.package_cycles else "nodes")
+        if args.verb == "analyze":
+            if args.ignore:
+                a.violations = rules.without_rules(a.violations, args.ignore)
+            print(render.services(a, total, shared, args.format), end="")
+            return 0
+        out, code = _check(spark, a, args, root)
+        print((render.services(a, total, shared, args.format) if args.format != "json" else "") + out, end="")
         return code
-    a = analysis.of_tree(spark, str(path), "repo", cfg)
+    base, under = path, ""
+    if args.verb == "forensics" and args.project_root:
+        base = Path(args.project_root).resolve()
+        if not path.is_relative_to(base):
+            print(f"{path} is not in {base}", file=sys.stderr)
+            return 2
+        under = "" if path == base else str(path.relative_to(base))
+    cache = str(root / CACHE) if getattr(args, "incremental", False) else None
+    a = analysis.of_tree(spark, str(base), "repo", cfg, cache, under, cycles="packages" if getattr(args, "package_cycles", False) else "nodes", project_root=str(root))
     code = 0
     if args.verb == "check":
         out, code = _check(spark, a, args, root)
     elif args.verb == "analyze":
         if args.ignore:
-            from stratagraph.operators import rules
-
             a.violations = rules.without_rules(a.violations, args.ignore)
         out = render.score_line(a, args.format == "json") + "\n" if args.score_only else {"text": render.text, "markdown": render.markdown, "json": lambda x: render.as_json(x, not args.compact) + "\n"}[args.format](a)
     elif args.verb == "diagram":

@@ -65,7 +65,7 @@ class Config:
             "constructor_concrete": "warning",
             "domain_infra_leak": "error",
             "init_coupling": "warning",
-            "layer_boundary": "error",
+            "layer_direction": "error",
             "missing_implementation": "info",
             "missing_port": "warning",
         }

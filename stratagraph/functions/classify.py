@@ -187,9 +187,9 @@ def rule_of_layers(source: Column, target: Column) -> Column:
 
 RULE_NAMES = {
     "D001": "circular-dependency", "L001": "domain-depends-on-infrastructure", "L002": "domain-depends-on-application", "L003": "application-bypasses-ports", "L004": "init-function-coupling",
-    "L005": "domain-uses-infrastructure-type", "L099": "layer-boundary-violation", "PA001": "missing-port-interface", "PA002": "port-without-implementation", "PA003": "constructor-returns-concrete-type",
+    "L005": "domain-uses-infrastructure-type", "L099": "inner-layer-depends-outwards", "PA001": "missing-port-interface", "PA002": "port-without-implementation", "PA003": "constructor-returns-concrete-type",
 }
-CATEGORIES = {"D001": "circular_dependency", "L001": "layer_boundary", "L002": "layer_boundary", "L003": "layer_boundary", "L004": "init_coupling", "L005": "domain_infra_leak", "L099": "layer_boundary", "PA001": "missing_port", "PA002": "missing_implementation", "PA003": "constructor_concrete"}
+CATEGORIES = {"D001": "circular_dependency", "L001": "layer_direction", "L002": "layer_direction", "L003": "layer_direction", "L004": "init_coupling", "L005": "domain_infra_leak", "L099": "layer_direction", "PA001": "missing_port", "PA002": "missing_implementation", "PA003": "constructor_concrete"}
 
 
 def rule_name(rule: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.functions import classify as C
+from stratagraph.operators.graph import lengths_of, substrings
 
 CATEGORIES = ("stdlib", "internal_domain", "internal_application", "internal_infrastructure", "external")
 
@@ -17,13 +18,11 @@ def classified_imports(dependencies: DataFrame) -> DataFrame:
 
 
 def entity_value_objects(components: DataFrame) -> DataFrame:
-    """(repo, entity_id, value_object): value objects whose name is in a field type of an entity. Names are few and long types rare, so the keys of the join are the words of the type and its substrings."""
+    """(repo, entity_id, value_object): value objects whose name is in a field type of an entity: an equi-join with the types' substrings of lengths that the names have."""
     types = components.where("kind = 'entity'").select("repo", F.col("component_id").alias("entity_id"), F.explode("fields.type_name").alias("t")).distinct()
     words = types.select("repo", "t").distinct()
-    n = F.length("t")
-    keys = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda a: F.transform(F.sequence(F.lit(1), F.greatest(n - a + 1, F.lit(1))), lambda k: F.substring("t", a, k)))))
     objects = components.where("kind = 'value_object'").select("repo", F.col("name").alias("value_object")).distinct()
-    inside = words.withColumn("value_object", F.explode(keys)).join(objects, ["repo", "value_object"], "left_semi")
+    inside = substrings(words, "t", "value_object", lengths_of(objects, "value_object")).join(objects, ["repo", "value_object"], "left_semi").distinct()
     return types.join(inside, ["repo", "t"]).select("repo", "entity_id", "value_object").distinct()
 
 
@@ -50,11 +49,19 @@ def unserved_ports(components: DataFrame) -> DataFrame:
     return components.where("kind = 'port'").join(stated, ["repo", "name"], "left_anti")
 
 
+def _bucket():
+    names = {"domain_event": "events", "port": "ports", "entity": "entities", "value_object": "value_objects", "use_case": "application_services", "service": "application_services", "adapter": "adapters", "repository": "adapters"}
+    return F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("kind")]
+
+
 def buckets(components: DataFrame) -> DataFrame:
     """(repo, bucket, members) of the report's lists."""
-    names = {"domain_event": "events", "port": "ports", "entity": "entities", "value_object": "value_objects", "use_case": "application_services", "service": "application_services", "adapter": "adapters", "repository": "adapters"}
-    bucket = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("kind")]
-    return components.groupBy("repo", bucket.alias("bucket")).agg(F.array_sort(F.collect_list("component_id")).alias("members"))
+    return components.groupBy("repo", _bucket().alias("bucket")).agg(F.array_sort(F.collect_list("component_id")).alias("members"))
+
+
+def listed(components: DataFrame) -> DataFrame:
+    """(repo, bucket, component_id, name, kind, file, line): the members of the report's lists as rows."""
+    return components.withColumn("bucket", _bucket()).select("repo", "bucket", "component_id", "name", "kind", "file", "line")
 
 
 def improvements(components: DataFrame, leaks: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCORE = "overall double, structural_presence double, layer_conformance double, dependency_compliance double, interface_coverage double"
-SNAPSHOT = f"timestamp string, git_commit string, git_branch string, result struct<score: struct<{SCORE.replace(' double', ': double')}>, violations: array<struct<rule: string, severity: string, file: string, line: bigint, message: string>>, component_count: bigint, dependency_count: bigint, files_analyzed: bigint>"
+SNAPSHOT = f"timestamp string, git_commit string, git_branch string, result struct<score: struct<{SCORE.replace(' double', ': double')}>, violations: array<struct<rule: string, severity: string, file: string, line: bigint, message: string>>, component_count: bigint, dependency_count: bigint, files_analyzed: bigint, repo: string, package_metrics: array<struct<package: string, abstractness: double, instability: double, distance: double, zone: string>>, patterns: array<struct<name: string, confidence: double>>>"
 
 
 def read_history(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
@@ -59,11 +59,19 @@ def cache_prune(state: DataFrame, files: DataFrame) -> DataFrame:
     return state.join(files.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
 
 
-def snapshots(summary: DataFrame, violations: DataFrame, timestamp: str, commit: str | None = None, branch: str | None = None) -> DataFrame:
-    """Rows of history from the summaries and violations of analyses, one a repository."""
+def snapshots(summary: DataFrame, violations: DataFrame, timestamp: str, commit: str | None = None, branch: str | None = None, files: DataFrame | None = None, packages: DataFrame | None = None, patterns: DataFrame | None = None) -> DataFrame:
+    """Rows of history from the summaries and violations of analyses, one a repository; with the number of files, package metrics and pattern confidences where these tables are given."""
     found = violations.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("rule", "severity", "file", "line", "message"))).alias("violations"))
     none = F.array().cast("array<struct<rule: string, severity: string, file: string, line: bigint, message: string>>")
     parts = [p.split()[0] for p in SCORE.split(", ")]
     score = F.when(F.col("overall").isNotNull(), F.struct(*parts))
-    result = F.struct(score.alias("score"), F.coalesce("violations", none).alias("violations"), "component_count", "dependency_count", F.lit(None).cast("bigint").alias("files_analyzed"))
-    return summary.join(found, "repo", "left").select(F.lit(timestamp).alias("timestamp"), F.lit(commit).cast("string").alias("git_commit"), F.lit(branch).cast("string").alias("git_branch"), result.alias("result"))
+    rows = summary.join(found, "repo", "left")
+    for rest, kind, agg in (
+        (files, "files_analyzed bigint", F.count("*")),
+        (packages, "package_metrics array<struct<package: string, abstractness: double, instability: double, distance: double, zone: string>>", F.array_sort(F.collect_list(F.struct("package", "abstractness", "instability", "distance", "zone")))),
+        (patterns, "patterns array<struct<name: string, confidence: double>>", F.array_sort(F.collect_list(F.struct("name", "confidence")))),
+    ):
+        name, kind = kind.split(" ", 1)
+        rows = rows.withColumn(name, F.lit(None).cast(kind)) if rest is None else rows.join(rest.groupBy("repo").agg(agg.alias(name)), "repo", "left")
+    result = F.struct(score.alias("score"), F.coalesce("violations", none).alias("violations"), "component_count", "dependency_count", "files_analyzed", "repo", "package_metrics", "patterns")
+    return rows.select(F.lit(timestamp).alias("timestamp"), F.lit(commit).cast("string").alias("git_commit"), F.lit(branch).cast("string").alias("git_branch"), result.alias("result"))

@@ -122,6 +122,15 @@ def rule_counts(violations: DataFrame) -> DataFrame:
     return violations.groupBy("repo", "rule").agg(F.count("*").alias("n"))
 
 
+VIOLATION_KINDS = ("layer_direction", "circular_dependency", "missing_port", "missing_implementation", "constructor_concrete", "domain_infra_leak", "init_coupling", "custom")
+
+
+def violation_kinds(violations: DataFrame) -> DataFrame:
+    """(repo, a count for each of eight kinds of violation); D001 to PA003 by their category, all configured rules as custom."""
+    kind = F.when(F.col("rule").startswith("C-"), "custom").otherwise(F.create_map(*[F.lit(x) for pair in C.CATEGORIES.items() for x in pair])[F.col("rule")])
+    return violations.groupBy("repo").agg(*[F.count_if(kind == k).alias(k) for k in VIOLATION_KINDS])
+
+
 def layer_flow(edges: DataFrame, real_only: bool = False) -> DataFrame:
     """(repo, source, target, n_edges, n_violations) between layers; real_only: edges between components alone."""
     rows = edges.where("src_kind is not null and tgt_kind is not null") if real_only else edges

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stratagraph.config import Config
 from stratagraph.functions import classify as C
 from stratagraph.functions.globs import any_of
+from stratagraph.operators.graph import lengths_of, substrings
 
 COLUMNS = ["repo", "rule", "severity", "file", "line", "col", "subject", "message", "suggestion"]
 
@@ -84,18 +85,11 @@ def port_names(nodes: DataFrame) -> DataFrame:
     return nodes.where(is_port).select("repo", low.alias("port"), C.port_base(F.col("name")).alias("port_base")).distinct()
 
 
-def _substrings(name: Column) -> Column:
-    """All distinct substrings of a name: keys by which containment becomes an equi-join, a number that depends on the name's length alone."""
-    n = F.length(name)
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda a: F.transform(F.sequence(F.lit(1), F.greatest(n - a + 1, F.lit(1))), lambda k: F.substring(name, a, k)))))
-
-
 def missing_ports(nodes: DataFrame, components: DataFrame, config: Config, spec: bool = False) -> DataFrame:
     """PA001: adapters of the infrastructure layer that have no port.
 
     A port fits if its name without the usual endings equals the adapter's, or if the adapter's name contains the port's.
-    Both are equi-joins: on the base, and of the adapter's substrings with the ports' names. spec leaves out ends of
+    Both are equi-joins: on the base, and of the adapter's substrings, of lengths that ports have, with the ports' names. spec leaves out ends of
     dependencies, which are no components.
     """
     low = F.lower("name")
@@ -109,7 +103,7 @@ def missing_ports(nodes: DataFrame, components: DataFrame, config: Config, spec:
     ports = port_names(nodes)
     names = chosen.select("repo", "name").distinct().withColumn("low", low)
     by_base = names.withColumn("port_base", C.adapter_base(F.col("name"))).where("port_base <> ''").join(ports, ["repo", "port_base"], "left_semi").select("repo", "name")
-    inside = names.withColumn("port", F.explode(_substrings(F.col("low")))).join(ports, ["repo", "port"], "left_semi").select("repo", "name")
+    inside = substrings(names, "low", "port", lengths_of(ports, "port")).join(ports, ["repo", "port"], "left_semi").select("repo", "name")
     lone = chosen.join(by_base.union(inside).distinct(), ["repo", "name"], "left_anti")
     return _violation(lone, "PA001", C.severity_of("PA001", config, "warning"), F.col("name"), _say("No port fits the adapter %s", "name"), "Declare an interface for it.")
 
@@ -127,8 +121,8 @@ def unimplemented_ports(nodes: DataFrame, components: DataFrame, config: Config)
     ports = ports.join(stated, ["repo", "name"], "left_anti")
     adapters = nodes.where(_true((F.col("layer") == "infrastructure") & F.col("kind").isin("adapter", "repository"))).select("repo", F.lower("name").alias("low"), C.adapter_base(F.col("name")).alias("base")).distinct()
     names = ports.select("repo", "name").distinct().select("repo", "name", F.lower("name").alias("low"), C.port_base(F.col("name")).alias("base"))
-    keys = adapters.select("repo", F.explode(_substrings(F.col("low"))).alias("key")).union(adapters.where("base <> ''").select("repo", F.col("base").alias("key"))).distinct()
     wanted = names.select("repo", "name", F.explode(F.array_distinct(F.array("low", "base"))).alias("key")).where("key <> ''")
+    keys = substrings(adapters, "low", "key", lengths_of(wanted, "key")).select("repo", "key").union(adapters.where("base <> ''").select("repo", F.col("base").alias("key"))).distinct()
     met = wanted.join(keys, ["repo", "key"], "left_semi").select("repo", "name").distinct()
     open_ports = ports.join(met, ["repo", "name"], "left_anti")
     return _violation(open_ports, "PA002", C.severity_of("PA002", config, "info"), F.col("name"), _say("Nothing in the infrastructure layer implements %s", "name"), "Implement the port or remove it.")

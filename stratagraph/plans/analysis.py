@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -23,12 +24,13 @@ class Analysis:
     config: Config
     files: DataFrame | None = None
     externals: str = "cli"
-    cycles: bool = False
+    cycles: str = ""  # "nodes": of the dependency graph, "packages": of packages and their imports, which real code has
+    project_root: str | None = None
 
     @cached_property
     def nodes(self) -> DataFrame:
         first = written(graph.build_nodes(self.components, self.dependencies), "nodes")
-        return written(graph.with_external(first, self.components, mode=self.externals), "graph")
+        return written(graph.with_external(first, self.components, self.project_root, self.externals), "graph")
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -36,7 +38,8 @@ class Analysis:
 
     @cached_property
     def violations(self) -> DataFrame:
-        cyclic = graph.strongly_connected(graph.package_edges(self.dependencies, self.components)) if self.cycles else None
+        of = {"nodes": lambda: self.dependencies.select("repo", F.col("from_id").alias("a"), F.col("to_id").alias("b")), "packages": lambda: graph.package_edges(self.dependencies, self.components)}
+        cyclic = graph.strongly_connected(of[self.cycles]()) if self.cycles else None
         return written(rules.described(rules.all_violations(self.components, self.nodes, self.edges, self.config, cyclic)), "violations")
 
     @cached_property
@@ -61,6 +64,9 @@ class Analysis:
     def failing(self, fail_on: str | None = None, ignore: list[str] | None = None) -> DataFrame:
         return rules.failing(rules.without_rules(self.violations, ignore or []), fail_on or self.config.fail_on)
 
+    def violation_kinds(self) -> DataFrame:
+        return metrics.violation_kinds(self.violations)
+
     def improvements(self) -> DataFrame:
         return forensics.improvements(self.components, self.violations)
 
@@ -77,15 +83,23 @@ def of_files(files: DataFrame, config: Config, state: DataFrame | None = None, *
     return Analysis(written(tree.components(found, config), "components"), written(tree.dependencies(found, config), "dependencies"), config, found, **how)
 
 
-def of_tree(spark: SparkSession, root: str, repo: str = "repo", config: Config | None = None, **how) -> Analysis:
+def of_tree(spark: SparkSession, root: str, repo: str = "repo", config: Config | None = None, cache: str | None = None, under: str = "", **how) -> Analysis:
+    """cache: a folder with the facts of the last run, which is read and then replaced; under: a module of the tree, whose paths stay those from the root."""
     config = config or discover(root)
-    return of_files(tree.scan(spark, root, repo, config.languages), config, **how)
+    state = None
+    if cache and os.path.isdir(cache):
+        state = spark.read.schema(tree.FACTS).parquet(cache)
+    a = of_files(tree.scan(spark, root, repo, config.languages, under), config, state, **how)
+    if cache:
+        a.files.write.mode("overwrite").parquet(cache)  # of_files has written a.files elsewhere, so it reads no cache
+    return a
 
 
 def per_service(spark: SparkSession, root: str, config: Config | None = None, pattern: str | None = None, **how) -> tuple[Analysis, DataFrame, DataFrame]:
     """(the analysis with a service as its repo column, its rollup, modules that services share): all services in one job."""
     config = config or discover(root)
     files = tree.scan(spark, root, "repo", config.languages)
+    how.setdefault("cycles", "nodes")
     own = files.withColumn("repo", services.service_of(F.col("path"), pattern or config.services_pattern or "services/*")).where("repo is not null")
     a = of_files(own, config, **how)
     per = a.summary.join(a.files.groupBy("repo").agg(F.count("*").alias("files_analyzed")), "repo", "left")

@@ -360,6 +360,15 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.strongly_connected(edges).withColumn("members", F.concat_ws(",", "members"))
 
 
+@query(f"{_PE}, l AS (SELECT repo, package, arg_min(file, seq) AS file, arg_min(line, seq) AS line FROM c GROUP BY repo, package) SELECT m.repo, 'D001' AS rule, 'error' AS severity, l.file, l.line, component AS subject, 'Dependency cycle: ' || string_agg(a, ' -> ' ORDER BY a) || ' -> ' || min(a) AS message FROM m JOIN l ON l.repo = m.repo AND l.package = component GROUP BY m.repo, component, l.file, l.line")
+def cycle_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles of packages as violations, at the first place of their lowest package."""
+    c = testmap.components(spark, sf_dir)
+    edges = graph.package_edges(testmap.dependencies(spark, sf_dir), c)
+    places = c.groupBy("repo", F.col("package").alias("node_id")).agg(F.min_by("file", "seq").alias("file"), F.min_by("line", "seq").alias("line"), F.min_by("col", "seq").alias("col"))
+    return rules.cycles(graph.strongly_connected(edges), places, CONFIG).select("repo", "rule", "severity", "file", "line", "subject", "message")
+
+
 _PATHS = f"WITH {C_}, x AS (SELECT DISTINCT file AS path FROM c UNION SELECT DISTINCT url FROM pages WHERE url IS NOT NULL)"
 
 
@@ -490,13 +499,16 @@ def cache_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.cache_prune(state, files).select("repo", "path")
 
 
-@query("""WITH s AS (SELECT CAST(s_nationkey AS VARCHAR) AS repo, CASE WHEN s_acctbal >= 0 THEN s_acctbal / 100 END AS overall, 1 + s_suppkey % 40 AS n FROM supplier)
-SELECT repo, round(coalesce(sum(overall * n), 0) / sum(n), 6) AS overall, CAST(sum(n) AS BIGINT) AS component_count FROM s GROUP BY repo""")
+_PART = "CASE WHEN s_acctbal >= {0} THEN s_acctbal / (100 + {0}) END"
+
+
+@query("WITH s AS (SELECT CAST(s_nationkey AS VARCHAR) AS repo, " + ", ".join(f"{_PART.format(700 * k)} AS {c}" for k, c in enumerate(services.PARTS)) + ", 1 + s_suppkey % 40 AS n, s_suppkey % 7 AS d, s_suppkey % 3 AS f FROM supplier) SELECT repo, " + ", ".join(f"round(coalesce(sum({c} * n), 0) / sum(n), 6) AS {c}" for c in services.PARTS) + ", CAST(sum(n) AS BIGINT) AS component_count, CAST(sum(d) AS BIGINT) AS dependency_count, CAST(sum(f) AS BIGINT) AS files_analyzed FROM s GROUP BY repo")
 def service_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of services weighted by their components."""
-    s = parquet(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("repo"), F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal") / 100).alias("overall"), (1 + F.col("s_suppkey") % 40).alias("component_count"))
-    full = s.select("*", *[F.col("overall").alias(c) for c in services.PARTS[1:]], F.lit(0).alias("dependency_count"), F.lit(0).alias("files_analyzed"))
-    return services.rollup(full).select("repo", _r("overall"), "component_count")
+    key = F.col("s_suppkey")
+    s = parquet(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("repo"), *[F.expr(_PART.format(700 * k)).alias(c) for k, c in enumerate(services.PARTS)], (1 + key % 40).alias("component_count"), (key % 7).alias("dependency_count"), (key % 3).alias("files_analyzed"))
+    out = services.rollup(s)
+    return out.select("repo", *[_r(c) for c in services.PARTS], *[F.col(c).cast("bigint").alias(c) for c in ("component_count", "dependency_count", "files_analyzed")])
 
 
 @query(f"WITH {D_} SELECT repo, import_path AS module, string_agg(DISTINCT split_part(from_id, '/', 1), ',' ORDER BY split_part(from_id, '/', 1)) AS used_by FROM d WHERE import_path IS NOT NULL GROUP BY repo, import_path HAVING count(*) > 1")
@@ -572,16 +584,81 @@ g AS (SELECT repo, file, name, layer, kind = 'port' AS port, CASE WHEN kind = 'p
 SELECT repo, file, name, layer, CASE WHEN port THEN 'port' WHEN contains(file, 'infrastructure/') AND {_suffix('repository|repo')} THEN 'repository' WHEN {_suffix('event|' + C.PAST.replace(' ', '|'))} THEN 'domain_event' WHEN {_suffix('repository|repo')} THEN 'repository'
 WHEN {_suffix('service|svc')} THEN 'service' WHEN {_suffix('usecase|interactor')} THEN 'use_case' WHEN layer = 'infrastructure' AND {_suffix('handler|controller')} THEN 'adapter' ELSE {_VALUE} END AS kind, CAST(n_fields AS INTEGER) AS n_fields, CAST(n_methods AS INTEGER) AS n_methods FROM g""")
 def go_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components read back from generated Go text."""
+    """Components read back from generated Go text."""
     from stratagraph.sources import tree
 
     found = tree.components(tree.facts(_sources(spark, sf_dir)), Config())
     return found.select("repo", "file", "name", "layer", "kind", F.size("fields").alias("n_fields"), F.size("methods").alias("n_methods"))
 
 
-@query()
+_TEXTS = {
+    "rust": (".rs", "use std::fmt;\nuse crate::acme::mail;\n\n", "pub trait {n} {{\n    fn find(&self);\n}}\n", "pub struct {n} {{\n{fields}}}\n{impl}", "impl {i} for {n} {{\n}}\n", "    pub %s: %s,\n", "crate::acme::mail"),
+    "typescript": (".ts", "import {{ A }} from '../acme/mail';\n// import '../no';\n\n", "export interface {n} {{\n  find(id: string): void;\n}}\n", "export class {n}{impl} {{\n}}\n", " implements {i}", "", "../acme/mail"),
+    "java": (".java", "package a;\nimport java.util.List;\nimport com.acme.Mail;\n\n", "public interface {n} {{\n    void find(String id);\n}}\n", "public class {n}{impl} {{\n}}\n", " implements {i}", "", "com.acme.Mail"),
+}
+
+
+def _written_in(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
+    """The components as files of a language: a file each, with its types, what they implement, and in Rust their fields."""
+    ending, head, port, other, impl, field, _ = _TEXTS[language]
+
+    def fill(pattern: str, **values) -> F.Column:
+        names = [x.split("}", 1)[0] for x in pattern.replace("{{", "\0").split("{")[1:]]
+        for n in values:
+            pattern = pattern.replace("{" + n + "}", "%s")
+        return F.format_string(pattern.replace("{{", "{").replace("}}", "}"), *[values[n] for n in names]) if names else F.lit(pattern.replace("{{", "{").replace("}}", "}"))
+
+    c = testmap.components(spark, sf_dir)
+    stated = F.when(F.size("implements") > 0, fill(impl, i=F.col("implements")[0], n=F.col("name"))).otherwise("")
+    fields = F.array_join(F.transform("fields", lambda f: F.format_string(field, f["name"], f["type_name"])), "") if field else F.lit("")
+    body = F.when(F.col("kind") == "port", fill(port, n=F.col("name"))).otherwise(fill(other, n=F.col("name"), fields=fields, impl=stated))
+    one = c.groupBy("repo", "file", "component_id").agg(F.min_by(body, "seq").alias("body"), F.min("seq").alias("seq"))
+    text = F.concat(F.lit(head.replace("{{", "{").replace("}}", "}")), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "body"))), lambda x: x["body"]), "\n"))
+    return one.groupBy("repo", "file").agg(text.alias("content")).select("repo", F.regexp_replace("file", "[.]go$", ending).alias("path"), F.lit(language).alias("language"), "content")
+
+
+def _all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from functools import reduce
+
+    from stratagraph.sources import tree
+
+    return tree.facts(reduce(DataFrame.unionByName, [_written_in(spark, sf_dir, x) for x in _TEXTS] + [_sources(spark, sf_dir)]))
+
+
+_O = f"WITH {C_}, o AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY repo, file, component_id ORDER BY seq) = 1)"
+_UP = "CASE WHEN layer = 'infrastructure' AND k NOT IN ('adapter', 'repository', 'service') AND " + _suffix("handler|controller") + " THEN 'adapter' ELSE k END"
+
+
+@query(_O + " SELECT language, repo, replace(file, '.go', ending) AS file, name, layer, CASE WHEN kind = 'port' THEN 'port' ELSE " + _UP + " END AS kind, n_fields, CAST(kind = 'port' AS INTEGER) AS n_methods, CAST(kind <> 'port' AND implemented IS NOT NULL AS INTEGER) AS n_implements FROM ("
+    + f"SELECT *, 'rust' AS language, '.rs' AS ending, CASE WHEN implemented IS NOT NULL THEN 'adapter' ELSE {_RUST} END AS k, CASE WHEN kind = 'port' THEN 0 ELSE CAST(has_id AS INTEGER) + CAST(ref_type IS NOT NULL AS INTEGER) END AS n_fields FROM o"
+    + "".join(f" UNION ALL SELECT *, '{x}', '{_TEXTS[x][0]}', {_CLASS}, 0 FROM o" for x in ("typescript", "java")) + ")")
+def source_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components read back from generated Rust, TypeScript and Java text."""
+    from stratagraph.sources import tree
+
+    found = tree.components(_all_languages(spark, sf_dir).where("language <> 'go'"), Config())
+    language = F.create_map(*[F.lit(x) for k, v in _TEXTS.items() for x in (v[0], k)])[F.concat(F.lit("."), F.substring_index("file", ".", -1))]
+    return found.select(language.alias("language"), "repo", "file", "name", "layer", "kind", F.size("fields").alias("n_fields"), F.size("methods").alias("n_methods"), F.size("implements").alias("n_implements"))
+
+
+@query(_O + ", f AS (SELECT DISTINCT repo, file, layer FROM o) SELECT repo, replace(file, '.go', ending) AS file, import_path, from_layer FROM (SELECT repo, file, layer AS from_layer, unnest(['.rs', '.ts', '.java', '.go']) AS ending, unnest(['crate::acme::mail', '../acme/mail', 'com.acme.Mail', 'github.com/acme/x']) AS import_path FROM f)")
+def import_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports read back from generated text of four languages, without their standard libraries."""
+    from stratagraph.sources import tree
+
+    return tree.dependencies(_all_languages(spark, sf_dir), Config()).select("repo", "file", "import_path", "from_layer")
+
+
+@query(f"WITH {EDGES_}, t AS (SELECT repo, name AS top_pattern FROM ({_PATTERNS}) QUALIFY row_number() OVER (PARTITION BY repo ORDER BY confidence DESC, list_position(['ddd-hexagonal', 'active-record', 'flat-crud', 'anemic-domain', 'service-layer'], name)) = 1) SELECT repo, (SELECT count(*) FROM nodes WHERE nodes.repo = t.repo) AS n_nodes, (SELECT count(*) FROM d WHERE d.repo = t.repo) AS n_dependencies, (SELECT count(*) FROM ({_ALL}) v WHERE v.repo = t.repo) AS n_violations, (SELECT count(DISTINCT string_split(package, '/')[-1]) FROM c WHERE c.repo = t.repo) AS n_packages, top_pattern FROM t")
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON report a repository (K4)."""
+    """What the JSON report of each repository says (K4)."""
+    part = lambda p: F.get_json_object("report", f"$.{p}")
+    n = lambda p: F.json_array_length(part(p)).cast("bigint")
+    return reports(spark, sf_dir).select("repo", part("component_count").cast("bigint").alias("n_nodes"), part("dependency_count").cast("bigint").alias("n_dependencies"), n("violations").alias("n_violations"), n("package_metrics").alias("n_packages"), part("top_pattern").alias("top_pattern"))
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, report): a JSON report a repository."""
     from stratagraph.plans.analysis import Analysis
     from stratagraph.reports.render import json_frame
 
@@ -591,16 +668,19 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_frame(a)
 
 
-@query("SELECT source AS repo, CAST(doc_id AS VARCHAR) AS path, sha256(coalesce(text, '')) AS sha256 FROM documents")
+@query(_O + " SELECT repo, file AS path, count(*) AS n_components FROM o GROUP BY repo, file")
 def streaming_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state that a stream of files ends in: the latest version of every path (streaming form of J11, K13)."""
+    """The state that a stream of source files ends in, in two batches of which the second replaces most files of the first and leaves some (streaming form of J11, K13)."""
     import uuid
 
     from stratagraph.streaming import incremental
     from stratagraph.tables import shared_dir
 
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    docs = parquet(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.lit("text").alias("language"), F.coalesce("text", F.lit("")).alias("content"), F.lit(1).cast("bigint").alias("version"))
-    docs.write.parquet(f"{at}/in")
-    incremental.start(incremental.read_files(spark, f"{at}/in"), f"{at}/state", f"{at}/log").awaitTermination()
-    return incremental.current(spark, f"{at}/state").select("repo", "path", "sha256")
+    full = written(_sources(spark, sf_dir), "sources")
+    stays = F.col("path").endswith("f3.go")
+    first = full.withColumn("content", F.when(stays, F.col("content")).otherwise("package p\ntype Gone struct {\n}\n")).withColumn("version", F.lit(1).cast("bigint"))
+    for batch in (first, full.where(~stays).withColumn("version", F.lit(2).cast("bigint"))):
+        batch.write.mode("append").parquet(f"{at}/in")
+        incremental.start(incremental.read_files(spark, f"{at}/in"), f"{at}/state", f"{at}/log").awaitTermination()
+    return incremental.current(spark, f"{at}/state").select("repo", "path", F.size("components").cast("bigint").alias("n_components"))

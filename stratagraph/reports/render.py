@@ -1,17 +1,19 @@
-"""Renderers. They collect summaries only: a row a repository, package or pair of layers, and violations up to ``MOST``, with the number left out."""
+"""Renderers. Whole reports, nothing is cut off; rows come to the driver a partition at a time."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from stratagraph.functions import classify as C
 from stratagraph.operators import forensics, metrics
+from stratagraph.operators.metrics import VIOLATION_KINDS
 from stratagraph.plans.analysis import Analysis
+from stratagraph.sources import tree
 
-MOST = 1000
 PARTS = {"overall": "Overall", "structural_presence": "Structural presence", "layer_conformance": "Layer conformance", "dependency_compliance": "Dependency compliance", "interface_coverage": "Interface coverage"}
 MARKS = {"error": "E", "warning": "W", "info": "I"}
 
@@ -20,14 +22,16 @@ def _number(x: float | None) -> str:
     return "—" if x is None else f"{x:.1f}"
 
 
-def _violations(v: DataFrame) -> tuple[list, int]:
-    rows = v.orderBy(F.desc("severity_ord"), "repo", "file", "line", "rule", "subject").limit(MOST + 1).collect()
-    return rows[:MOST], (v.count() - MOST if len(rows) > MOST else 0)
+def _violations(v: DataFrame) -> Iterator[Row]:
+    return v.orderBy(F.desc("severity_ord"), "repo", "file", "line", "rule", "subject").toLocalIterator()
 
 
 def text(a: Analysis) -> str:
-    out = []
-    for s in a.summary.orderBy("repo").collect():
+    out: list[str] = []
+    packages: dict[str, list[Row]] = {}
+    for p in a.package_metrics.orderBy("repo", "package").toLocalIterator():
+        packages.setdefault(p.repo, []).append(p)
+    for s in a.summary.orderBy("repo").toLocalIterator():
         out.append(f"== {s.repo} ==")
         if not s.component_count:
             out.append("Nothing was found to analyse.")
@@ -38,20 +42,17 @@ def text(a: Analysis) -> str:
             out += [f"{label}: {_number(s[key])}" for key, label in PARTS.items()]
             out.append(f"Pattern: {s.top_pattern} ({s.top_confidence:.2f})")
         out.append(f"{s.component_count} nodes, {s.dependency_count} dependencies, {s.violation_count} violations")
-        for p in a.package_metrics.where(F.col("repo") == s.repo).orderBy("package").collect():
+        for p in packages.get(s.repo, []):
             out.append(f"  {p.package}: A={p.abstractness:.2f} I={p.instability:.2f} D={p.distance:.2f}" + (f" (zone of {p.zone})" if p.zone else ""))
-    rows, more = _violations(a.violations)
-    out += [f"[{MARKS[v.severity]}] {v.rule} {v.file}:{v.line} {v.message}" for v in rows]
-    if more:
-        out.append(f"... and {more} more")
+    out += [f"[{MARKS[v.severity]}] {v.rule} {v.file}:{v.line} {v.message}" for v in _violations(a.violations)]
     return "\n".join(out) + "\n"
 
 
 def check(a: Analysis, fail_on: str | None = None, ignore: list[str] | None = None) -> tuple[str, int]:
     """The result of a gate and its exit code: 1 if a violation reaches the severity, or a score the configured minimum not."""
-    rows, more = _violations(a.failing(fail_on, ignore))
+    rows = _violations(a.failing(fail_on, ignore))
     low = [s for s in a.summary.collect() if a.config.min_score is not None and s.overall is not None and s.overall < a.config.min_score]
-    lines = [f"{v.rule} {v.file}:{v.line} {v.message}" for v in rows] + [f"... and {more} more"] * bool(more) + [f"{s.repo}: score {_number(s.overall)} is below {a.config.min_score:g}" for s in low]
+    lines = [f"{v.rule} {v.file}:{v.line} {v.message}" for v in rows] + [f"{s.repo}: score {_number(s.overall)} is below {a.config.min_score:g}" for s in low]
     return "\n".join([*lines, "FAILED" if lines else "PASSED"]) + "\n", int(bool(lines))
 
 
@@ -88,9 +89,19 @@ def markdown(a: Analysis) -> str:
     summary = a.summary.orderBy("repo").collect()
     out += _table(["Repository", *PARTS.values(), "Pattern", "Violations"], [[s.repo, *[_number(s[k]) for k in PARTS], s.top_pattern or "—", s.violation_count] for s in summary])
     out += ["## Packages", "", *_table(["Repository", "Package", "A", "I", "D", "Zone"], [[p.repo, p.package, f"{p.abstractness:.2f}", f"{p.instability:.2f}", f"{p.distance:.2f}", p.zone or ""] for p in a.package_metrics.orderBy("repo", "package").collect()])]
-    rows, more = _violations(a.violations)
-    out += ["## Violations", "", *_table(["Rule", "Severity", "Place", "Message"], [[v.rule, v.severity, f"{v.file}:{v.line}", v.message] for v in rows])]
-    return "\n".join(out + [f"{more} more are left out."] * bool(more)) + "\n"
+    out += ["## Violations", "", *_violation_table(a.violations)]
+    return "\n".join(out) + "\n"
+
+
+def _violation_table(v: DataFrame) -> list[str]:
+    return _table(["Rule", "Severity", "Place", "Message"], [[v.rule, v.severity, f"{v.file}:{v.line}", v.message] for v in _violations(v)])
+
+
+def check_markdown(a: Analysis, passed: bool, fail_on: str | None = None, ignore: list[str] | None = None) -> str:
+    """The result of a gate, what failed it, and counts by kind of violation."""
+    counts = a.violation_kinds().orderBy("repo").toLocalIterator()
+    out = [f"# Check {'passed' if passed else 'failed'}", "", *_table(["Repository", *VIOLATION_KINDS], [[r.repo, *[r[k] for k in VIOLATION_KINDS]] for r in counts])]
+    return "\n".join([*out, "## Failing violations", "", *_violation_table(a.failing(fail_on, ignore))]) + "\n"
 
 
 def _drawn(a: Analysis, spec: bool) -> tuple[list, list]:
@@ -134,12 +145,21 @@ def flow(a: Analysis, form: str = "mermaid") -> str:
 
 
 def forensic_markdown(a: Analysis) -> str:
-    out = ["# Forensics", "", "## Aggregates", ""]
+    """The whole forensic report: files, lists by kind, aggregates with their imports, value objects, patterns, violations, improvements."""
+    out = ["# Forensics", "", "## Files", ""]
+    if a.files is not None:
+        out += [f"{'  ' * r.depth}- {r.path.rsplit('/', 1)[-1]}{'/' if r.is_dir else ''}" for r in tree.listing(a.files).toLocalIterator()]
+    lists = forensics.listed(a.components)
+    for bucket, title in (("events", "Domain events"), ("ports", "Ports"), ("application_services", "Application services"), ("adapters", "Adapters")):
+        rows = lists.where(F.col("bucket") == bucket).orderBy("repo", "component_id").toLocalIterator()
+        out += ["", f"## {title}", "", *_table(["Name", "Kind", "Place"], [[r.name, r.kind, f"{r.file}:{r.line}"] for r in rows])]
+    out += ["## Aggregates", ""]
     audit = forensics.dependency_audit(a.components, a.dependencies)
-    out += _table(["Entity", "Clean", "Domain", "Application", "Infrastructure", "External"], [[r.entity_id, "yes" if r.is_clean else "no", *[", ".join(r[c]) for c in forensics.CATEGORIES[1:]]] for r in audit.orderBy("repo", "entity_id").limit(MOST).collect()])
-    out += ["## Value objects", "", *_table(["Entity", "Value object"], [[r.entity_id, r.value_object] for r in forensics.entity_value_objects(a.components).orderBy("repo", "entity_id", "value_object").limit(MOST).collect()])]
-    out += ["## Patterns", "", *_table(["Entity", "Pattern", "Found"], [[r.component_id, r.pattern, "yes" if r.detected else "no"] for r in forensics.domain_patterns(a.components).orderBy("repo", "component_id", "pattern").limit(MOST).collect()])]
-    out += ["## Improvements", "", *(f"- {r.subject}: {r.advice}" if r.subject else f"- {r.advice}" for r in a.improvements().orderBy("repo", "ord", "subject").limit(MOST).collect()), ""]
+    out += _table(["Entity", "Clean", "Domain", "Application", "Infrastructure", "External"], [[r.entity_id, "yes" if r.is_clean else "no", *[", ".join(r[c]) for c in forensics.CATEGORIES[1:]]] for r in audit.orderBy("repo", "entity_id").toLocalIterator()])
+    out += ["## Value objects", "", *_table(["Entity", "Value object"], [[r.entity_id, r.value_object] for r in forensics.entity_value_objects(a.components).orderBy("repo", "entity_id", "value_object").toLocalIterator()])]
+    out += ["## Patterns", "", *_table(["Entity", "Pattern", "Found"], [[r.component_id, r.pattern, "yes" if r.detected else "no"] for r in forensics.domain_patterns(a.components).orderBy("repo", "component_id", "pattern").toLocalIterator()])]
+    out += ["## Violations", "", *_violation_table(a.violations)]
+    out += ["## Improvements", "", *(f"- {r.subject}: {r.advice}" if r.subject else f"- {r.advice}" for r in a.improvements().orderBy("repo", "ord", "subject").toLocalIterator()), ""]
     return "\n".join(out)
 
 

@@ -5,11 +5,12 @@ Defined results: null content gives no facts; a file whose extraction fails give
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import asdict
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.config import Config
@@ -34,13 +35,18 @@ def language_of(path):
 
 
 def is_source(path):
-    return ~path.rlike(r"(^|/)(vendor|target)/|_test\.go$|\.d\.ts$")
+    return ~path.rlike(r"vendor/|/target/|_test\.go$|\.d\.ts$")
 
 
 def scan(spark: SparkSession, root: str, repo: str = "repo", languages: tuple[str, ...] = (), under: str = "") -> DataFrame:
     """(repo, path, language, content) of a tree's source files, paths relative to the root; under: a module within it."""
+    unknown = sorted(set(languages) - set(EXTENSIONS.values()))
+    if unknown:
+        warnings.warn(f"no extractor for: {', '.join(unknown)}", stacklevel=2)
+    if languages and len(unknown) == len(set(languages)):
+        raise ValueError("none of the languages has an extractor")
     wanted = [x for x, name in EXTENSIONS.items() if not languages or name in languages]
-    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*{" + ",".join(wanted) + "}")
+    raw = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*{" + ",".join(wanted) + "}")
     prefix = F.lit("file:" + root.rstrip("/") + "/" if root.startswith("/") else root.rstrip("/") + "/")
     full = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
     rows = raw.select(F.lit(repo).alias("repo"), F.substring(full, F.length(prefix) + 1, F.lit(1 << 30)).alias("path"), F.col("value").alias("content"))
@@ -48,9 +54,9 @@ def scan(spark: SparkSession, root: str, repo: str = "repo", languages: tuple[st
     return out.where(F.col("path").startswith(under.rstrip("/") + "/")) if under else out
 
 
-def detect_languages(files: DataFrame, most: int = 1000) -> list[str]:
-    """Languages of the first files by path, Go if there are none."""
-    found = files.select("path").orderBy("path").limit(most).select(language_of(F.col("path")).alias("l")).where("l is not null").distinct().collect()
+def detect_languages(files: DataFrame) -> list[str]:
+    """Languages of all files, Go if there are none."""
+    found = files.select(language_of(F.col("path")).alias("l")).where("l is not null").distinct().collect()
     return sorted(r[0] for r in found) or ["go"]
 
 
@@ -72,7 +78,7 @@ def facts(files: DataFrame) -> DataFrame:
                 try:
                     c, d = extract(r.path, r.language, r.content)
                     error = None
-                except (IndexError, ValueError, RecursionError) as e:
+                except Exception as e:  # noqa: BLE001 whatever a file does to its lexer, the others are read
                     c, d, error = [], [], f"{type(e).__name__}: {e}"
                 named = [asdict(x) | {"fields": [dict(zip(("name", "type_name"), f)) for f in x.fields], "methods": [dict(zip(("name", "parameters", "return_type"), m)) for m in x.methods]} for x in c]
                 out.append((r.repo, r.path, r.language, r.sha256, error, named, [asdict(x) for x in d]))
@@ -105,12 +111,13 @@ def components(state: DataFrame, config: Config) -> DataFrame:
         "repo", F.concat(package, F.lit("::"), name).alias("component_id"), package.alias("package"), "name", "kind", "layer", C.is_cross_cutting(path, config).alias("is_cross_cutting"), C.mode_of(path, config).alias("architecture_mode"),
         path.alias("file"), "line", "col", "fields", "methods", F.when(F.col("_made") & (F.col("made_package") != ""), F.array("made_type")).when(F.col("decl") == "interface", F.array().cast("array<string>")).otherwise(F.col("implements")).alias("implements"),
         F.when(F.col("_made"), F.when(F.col("made_package") != "", "high").otherwise("medium")).when(F.col("kind") == "adapter", "medium").alias("confidence"), F.when(F.col("_made") & (F.col("made_package") == ""), F.col("made_type")).alias("returns_concrete"),
-        (entity & C.is_active_record(F.col("methods"))).alias("is_active_record"), (entity & (F.size("methods") == 0)).alias("is_anemic_domain_model"), "k",
-    ).withColumn("seq", F.dense_rank().over(_by_path()) * 100_000 + F.col("k")).drop("k")
+        (entity & C.is_active_record(F.col("methods"))).alias("is_active_record"), (entity & (F.size("methods") == 0)).alias("is_anemic_domain_model"), _place(path).alias("seq"),
+    )
 
 
-def _by_path():
-    return Window.partitionBy("repo").orderBy("file")
+def _place(path):
+    """The order of facts: by path, then as they stand in the file."""
+    return F.concat(path, F.lit("\u0000"), F.lpad(F.col("k").cast("string"), 10, "0"))
 
 
 def dependencies(state: DataFrame, config: Config) -> DataFrame:
@@ -121,5 +128,5 @@ def dependencies(state: DataFrame, config: Config) -> DataFrame:
     return rows.select(
         "repo", F.concat(_folder(F.col("file")), F.lit("::"), F.col("source")).alias("from_id"), F.concat(target, F.lit("::"), F.col("target")).alias("to_id"), "kind", target.alias("import_path"), "file", "line", "col",
         C.layer_of(F.col("file"), config).alias("from_layer"), C.import_layer(target, config).alias("to_layer"), C.is_cross_cutting(F.col("file"), config).alias("from_cross_cutting"), C.is_cross_cutting_import(target, config).alias("to_cross_cutting"),
-        C.mode_of(F.col("file"), config).alias("architecture_mode"), (F.dense_rank().over(_by_path()) * 100_000 + F.col("k")).alias("seq"),
+        C.mode_of(F.col("file"), config).alias("architecture_mode"), _place(F.col("file")).alias("seq"),
     )

@@ -94,6 +94,41 @@ def test_cycles(spark):
     assert graph.strongly_connected(e.where("a = 'f'")).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_cycles_against_reachability(spark, most):
+    import random
+
+    rng = random.Random(most)
+    e = {(f"n{rng.randrange(25):02}", f"n{rng.randrange(25):02}") for _ in range(40)}
+    reach = {(a, b) for a, b in e}
+    while more := {(a, d) for a, b in reach for c, d in e if b == c} - reach:
+        reach |= more
+    parts = {tuple(sorted({b for b in {x for y in e for x in y} if b == a or ((a, b) in reach and (b, a) in reach)})) for a in {x for y in e for x in y}}
+    got = graph.strongly_connected(spark.createDataFrame([("r", a, b) for a, b in e], "repo string, a string, b string"), most).collect()
+    assert sorted(tuple(r.members) for r in got) == sorted(p for p in parts if len(p) > 1) and all(r.component == r.members[0] for r in got)
+
+
+def test_long_names(spark):
+    """Names of 10,000 characters in every place whose substrings are compared."""
+    long = "github.com/" + "import/adapterImpl" * 600
+    text = f'package d\n\nimport "{long}"\nimport "x.io/app/infrastructure/y"\n\ntype MailPort interface {{\n\tFind(x string)\n}}\ntype Thing struct {{\n\tID string\n\tF {"Addr" * 2500}\n}}\ntype Addr struct {{\n\tX int\n}}\n'
+    files = spark.createDataFrame([("r", "domain/a.go", "go", text), ("r", "app/infrastructure/b.go", "go", "package i\ntype smtpMailportAdapter struct {\n\tK string\n}\nfunc NewSmtpMailportAdapter() string { return \"\" }\n")], "repo string, path string, language string, content string")
+    a = analysis.of_files(files, Config())
+    ends = {r.node_id: r.is_external for r in a.nodes.where("kind is null").collect()}
+    assert ends[f"{long}::<package>"] and not ends["x.io/app/infrastructure/y::<package>"] and a.violations.count() >= 0
+    assert [r.value_object for r in __import__("stratagraph.operators.forensics", fromlist=["x"]).entity_value_objects(a.components).collect()] == ["Addr"]
+
+
+def test_reports_are_whole(spark):
+    """1,500 rows in each section."""
+    types = "".join(f"type E{k} struct {{\n\tID string\n\tv V{k}x\n}}\ntype V{k}x struct {{\n\tA int\n}}\n" for k in range(1500))
+    files = spark.createDataFrame([("r", "domain/a.go", "go", "package d\n" + types)] + [("r", f"domain/b{k}.go", "go", 'package d\nimport "x.io/mongo"\n') for k in range(1500)], "repo string, path string, language string, content string")
+    a = analysis.of_files(files, Config())
+    text = render.forensic_markdown(a)
+    assert all(f"domain::E{k} |" in text and f"| domain::E{k} | V{k}x |" in text and f"- E{k}: " in text for k in range(1500)) and text.count("rich model") == 1500 and text.count("| L005 |") == 1500
+    assert render.text(a).count(" L005 ") == 1500 and render.markdown(a).count("| L005 |") == 1500 and render.check(a)[0].count("L005 ") == 1500
+
+
 def test_cache(spark):
     schema = "repo string, path string, language string, content string"
     one = spark.createDataFrame([("r", "a.go", "go", FILES["domain/user.go"]), ("r", "b.go", "go", "package b\ntype B struct {\n\tX int\n}\n")], schema)

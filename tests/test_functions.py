@@ -63,4 +63,4 @@ def test_config_round_trip_and_aliases(tmp_path):
     (tmp_path / "stratagraph.toml").write_text("[broken")
     with pytest.warns(UserWarning):
         assert K.discover(tmp_path) == K.Config()
-    assert C.severity_of("L001", K.Config(severities={"L001": "info", "layer_boundary": "error"}), "error") == "info"
+    assert C.severity_of("L001", K.Config(severities={"L001": "info", "layer_direction": "error"}), "error") == "info"

@@ -18,5 +18,5 @@ def test_entry_has_a_query_for_every_sql():
 def test_json_report(spark):
     import json
 
-    rows = Q.json_report(spark, str(DATA)).collect()
+    rows = Q.reports(spark, str(DATA)).collect()
     assert rows and all({"score", "violations", "package_metrics", "patterns"} <= set(json.loads(r.report)) for r in rows)
