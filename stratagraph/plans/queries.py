@@ -499,7 +499,7 @@ def cache_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.cache_prune(state, files).select("repo", "path")
 
 
-_PART = "CASE WHEN s_acctbal >= {0} THEN s_acctbal / (100 + {0}) END"
+_PART = "CASE WHEN s_acctbal >= {0} THEN s_acctbal / (97 + {0}) END"
 
 
 @query("WITH s AS (SELECT CAST(s_nationkey AS VARCHAR) AS repo, " + ", ".join(f"{_PART.format(700 * k)} AS {c}" for k, c in enumerate(services.PARTS)) + ", 1 + s_suppkey % 40 AS n, s_suppkey % 7 AS d, s_suppkey % 3 AS f FROM supplier) SELECT repo, " + ", ".join(f"round(coalesce(sum({c} * n), 0) / sum(n), 6) AS {c}" for c in services.PARTS) + ", CAST(sum(n) AS BIGINT) AS component_count, CAST(sum(d) AS BIGINT) AS dependency_count, CAST(sum(f) AS BIGINT) AS files_analyzed FROM s GROUP BY repo")
