@@ -21,10 +21,22 @@ class Sparse:
         self.row = np.repeat(np.arange(len(self.first) - 1, dtype=np.int32), np.diff(self.first))
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(self.row, self.value * w[self.index, k], minlength=len(self.first) - 1) for k in range(w.shape[1])], axis=1)
+        out = np.zeros((len(self.first) - 1, w.shape[1]))
+        for a, b in self.chunks():
+            for k in range(w.shape[1]):
+                out[:, k] += np.bincount(self.row[a:b], self.value[a:b] * w[self.index[a:b], k], minlength=len(out))
+        return out
 
     def transposed_times(self, g: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(self.index, self.value * g[self.row, k], minlength=self.size) for k in range(g.shape[1])], axis=1)
+        out = np.zeros((self.size, g.shape[1]))
+        for a, b in self.chunks():
+            for k in range(g.shape[1]):
+                out[:, k] += np.bincount(self.index[a:b], self.value[a:b] * g[self.row[a:b], k], minlength=self.size)
+        return out
+
+    def chunks(self, size: int = 1 << 20) -> list[tuple[int, int]]:
+        """Stretches of items, so that products of them stay small."""
+        return [(a, min(a + size, len(self.index))) for a in range(0, len(self.index), size)]
 
     def rows(self, some: np.ndarray) -> Sparse:
         n = np.diff(self.first)[some]

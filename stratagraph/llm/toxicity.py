@@ -227,9 +227,9 @@ def near_seeds(docs: DataFrame, toxic: np.ndarray, clean: np.ndarray, said: Data
                 parts.append((u, np.full(len(u), -3), c, np.zeros(len(u), np.int64)))
                 parts.append((np.zeros(1, U), np.full(1, -4), np.full(1, int(near.sum())), np.zeros(1, np.int64)))
                 held += 2 * len(u) + len(at) * 2 * SPAN
-                if held > 2_000_000:
+                if held > 600_000:
                     parts, held = [summed(parts)], 0
-                    if len(parts[0][0]) > 1_000_000:
+                    if len(parts[0][0]) > 400_000:
                         yield from batch(parts[0])
                         parts = []
         if parts:
@@ -283,7 +283,7 @@ def cooccurrences(docs: DataFrame, nodes: np.ndarray, own: np.ndarray, n_words:
                     i, j = node[at[x]], node[at[x + k]]
                     joint.append((np.minimum(i, j) * v + np.maximum(i, j))[i != j])
                     held += len(joint[-1])
-                if held > 4_000_000:
+                if held > 1_000_000:
                     yield summed(joint)
                     joint, held = [], 0
         if joint:
