@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.functions import classify as C
@@ -20,6 +20,18 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return low.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
 
 
+def counted(dependencies: DataFrame) -> DataFrame:
+    """Equal dependencies as one row, with their number n and the lowest seq: one hash aggregate before the shuffle. Nodes, edges and rules made of these rows mean the same, and their work follows the number of distinct dependencies."""
+    return dependencies.groupBy(*[c for c in dependencies.columns if c != "seq"]).agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
+
+
+def number(rows: DataFrame, where: Column | None = None) -> Column:
+    """The aggregate that counts rows, or what rows with a column n stand for."""
+    if "n" not in rows.columns:
+        return F.count(F.lit(1)) if where is None else F.count_if(where)
+    return F.sum("n" if where is None else F.when(where, F.col("n")).otherwise(0))
+
+
 def build_nodes(components: DataFrame, dependencies: DataFrame) -> DataFrame:
     """Components, then both ends of dependencies; the first mention of an id gives its columns. kind is null for ends that are no components.
 
@@ -86,13 +98,13 @@ def with_external(nodes: DataFrame, components: DataFrame, project_root: str | N
 
 
 def build_edges(dependencies: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Every dependency with its ends' columns as src_* and tgt_*; parallel edges stay."""
+    """Every dependency with its ends' columns as src_* and tgt_*; parallel edges stay, as rows or as the n of counted() ones."""
     cols = ["name", "kind", "layer", "is_cross_cutting", "architecture_mode", "is_external"]
 
     def end(prefix: str, key: str) -> DataFrame:
         return nodes.select("repo", F.col("node_id").alias(key), *[F.col(c).alias(f"{prefix}_{c}") for c in cols])
 
-    base = dependencies.select("repo", "from_id", "to_id", F.col("kind").alias("dep_kind"), "import_path", "file", "line", "col", "seq")
+    base = dependencies.select("repo", "from_id", "to_id", F.col("kind").alias("dep_kind"), "import_path", "file", "line", "col", "seq", *[c for c in dependencies.columns if c == "n"])
     return base.join(end("src", "from_id"), ["repo", "from_id"]).join(end("tgt", "to_id"), ["repo", "to_id"])
 
 
@@ -206,7 +218,7 @@ def strongly_connected(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
 def depth_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo, max_depth, average_depth, node_count, edge_count): the depth is 1 where there is any edge, else 0."""
     n = nodes.groupBy("repo").agg(F.count("*").alias("node_count"))
-    e = edges.groupBy("repo").agg(F.count("*").alias("edge_count"))
+    e = edges.groupBy("repo").agg(number(edges).alias("edge_count"))
     both = n.join(e, "repo", "left").withColumn("edge_count", F.coalesce("edge_count", F.lit(0)))
     deep = F.when(F.col("edge_count") > 0, 1).otherwise(0).cast("long")
     return both.select("repo", deep.alias("max_depth"), (deep / F.col("node_count")).alias("average_depth"), "node_count", "edge_count")

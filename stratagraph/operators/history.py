@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratagraph.operators import rules
+
 SCORE = "overall double, structural_presence double, layer_conformance double, dependency_compliance double, interface_coverage double"
 SNAPSHOT = f"timestamp string, git_commit string, git_branch string, result struct<score: struct<{SCORE.replace(' double', ': double')}>, violations: array<struct<rule: string, severity: string, file: string, line: bigint, message: string>>, component_count: bigint, dependency_count: bigint, files_analyzed: bigint, repo: string, package_metrics: array<struct<package: string, abstractness: double, instability: double, distance: double, zone: string>>, patterns: array<struct<name: string, confidence: double>>>"
 
@@ -61,7 +63,7 @@ def cache_prune(state: DataFrame, files: DataFrame) -> DataFrame:
 
 def snapshots(summary: DataFrame, violations: DataFrame, timestamp: str, commit: str | None = None, branch: str | None = None, files: DataFrame | None = None, packages: DataFrame | None = None, patterns: DataFrame | None = None) -> DataFrame:
     """Rows of history from the summaries and violations of analyses, one a repository; with the number of files, package metrics and pattern confidences where these tables are given."""
-    found = violations.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("rule", "severity", "file", "line", "message"))).alias("violations"))
+    found = rules.each(violations).groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("rule", "severity", "file", "line", "message"))).alias("violations"))
     none = F.array().cast("array<struct<rule: string, severity: string, file: string, line: bigint, message: string>>")
     parts = [p.split()[0] for p in SCORE.split(", ")]
     score = F.when(F.col("overall").isNotNull(), F.struct(*parts))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.config import LAYERS, Config
 from stratagraph.functions import classify as C
-from stratagraph.operators.graph import import_targets
+from stratagraph.operators.graph import import_targets, number
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -58,7 +58,7 @@ def compliance(edges: DataFrame, spec: bool = False) -> DataFrame:
     if spec:
         rows = rows.where("src_layer is not null and tgt_layer is not null and src_layer <> tgt_layer")
     right = F.coalesce(~C.violates(F.col("src_layer"), F.col("tgt_layer")), F.lit(False))
-    return rows.groupBy("repo").agg(F.count("*").alias("n_edges"), F.count_if(right).alias("n_right")).withColumn("compliance", _share(F.col("n_right"), F.col("n_edges")) * 100)
+    return rows.groupBy("repo").agg(number(rows).alias("n_edges"), number(rows, right).alias("n_right")).withColumn("compliance", _share(F.col("n_right"), F.col("n_edges")) * 100)
 
 
 def interface_coverage(nodes: DataFrame, spec: bool = False) -> DataFrame:
@@ -113,13 +113,13 @@ def layer_counts(nodes: DataFrame) -> DataFrame:
 
 def coupling_matrix(edges: DataFrame) -> DataFrame:
     """(repo, source, domain, application, infrastructure, presentation): edges between layers, four rows a repo."""
-    both = edges.where("src_layer is not null and tgt_layer is not null").groupBy("repo", F.col("src_layer").alias("source")).pivot("tgt_layer", list(LAYERS)).agg(F.count(F.lit(1)))
+    both = edges.where("src_layer is not null and tgt_layer is not null").groupBy("repo", F.col("src_layer").alias("source")).pivot("tgt_layer", list(LAYERS)).agg(number(edges))
     frame = edges.select("repo").distinct().withColumn("source", F.explode(F.array(*[F.lit(x) for x in LAYERS])))
     return frame.join(both, ["repo", "source"], "left").na.fill(0, list(LAYERS))
 
 
 def rule_counts(violations: DataFrame) -> DataFrame:
-    return violations.groupBy("repo", "rule").agg(F.count("*").alias("n"))
+    return violations.groupBy("repo", "rule").agg(number(violations).alias("n"))
 
 
 VIOLATION_KINDS = ("layer_direction", "circular_dependency", "missing_port", "missing_implementation", "constructor_concrete", "domain_infra_leak", "init_coupling", "custom")
@@ -128,14 +128,14 @@ VIOLATION_KINDS = ("layer_direction", "circular_dependency", "missing_port", "mi
 def violation_kinds(violations: DataFrame) -> DataFrame:
     """(repo, a count for each of eight kinds of violation); D001 to PA003 by their category, all configured rules as custom."""
     kind = F.when(F.col("rule").startswith("C-"), "custom").otherwise(F.create_map(*[F.lit(x) for pair in C.CATEGORIES.items() for x in pair])[F.col("rule")])
-    return violations.groupBy("repo").agg(*[F.count_if(kind == k).alias(k) for k in VIOLATION_KINDS])
+    return violations.groupBy("repo").agg(*[number(violations, kind == k).alias(k) for k in VIOLATION_KINDS])
 
 
 def layer_flow(edges: DataFrame, real_only: bool = False) -> DataFrame:
     """(repo, source, target, n_edges, n_violations) between layers; real_only: edges between components alone."""
     rows = edges.where("src_kind is not null and tgt_kind is not null") if real_only else edges
     name = lambda c: F.coalesce(F.col(c), F.lit("unclassified"))
-    return rows.groupBy("repo", name("src_layer").alias("source"), name("tgt_layer").alias("target")).agg(F.count("*").alias("n_edges"), F.count_if(C.violates(F.col("src_layer"), F.col("tgt_layer"))).alias("n_violations"))
+    return rows.groupBy("repo", name("src_layer").alias("source"), name("tgt_layer").alias("target")).agg(number(rows).alias("n_edges"), number(rows, C.violates(F.col("src_layer"), F.col("tgt_layer"))).alias("n_violations"))
 
 
 def by_file(violations: DataFrame) -> DataFrame:

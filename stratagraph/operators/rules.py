@@ -14,6 +14,7 @@ from stratagraph.config import Config
 from stratagraph.functions import classify as C
 from stratagraph.functions.globs import any_of
 from stratagraph.operators.graph import lengths_of, substrings
+from stratagraph.tables import dealt
 
 COLUMNS = ["repo", "rule", "severity", "file", "line", "col", "subject", "message", "suggestion"]
 
@@ -35,12 +36,21 @@ class Rule:
 
 
 def applied(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The violations of all rules, from one pass over the rows."""
+    """The violations of all rules, from one pass over the rows. Rows with a column n give violations with it; each() makes rows of these."""
+    n = [c for c in rows.columns if c == "n"]
     if len(rules) == 1:
-        return rows.where(rules[0].broken).select("repo", "file", "line", "col", rules[0].entry().alias("v")).select("repo", "v.rule", "v.severity", "file", "line", "col", "v.subject", "v.message", "v.suggestion")
+        return rows.where(rules[0].broken).select("repo", "file", "line", "col", *n, rules[0].entry().alias("v")).select("repo", "v.rule", "v.severity", "file", "line", "col", "v.subject", "v.message", "v.suggestion", *n)
     any_broken = reduce(lambda a, b: a | b, [r.broken for r in rules])
     hits = F.explode(F.filter(F.array(*[F.when(r.broken, r.entry()) for r in rules]), lambda x: x.isNotNull()))
-    return rows.where(any_broken).select("repo", "file", "line", "col", hits.alias("v")).select("repo", "v.rule", "v.severity", "file", "line", "col", "v.subject", "v.message", "v.suggestion")
+    return rows.where(any_broken).select("repo", "file", "line", "col", *n, hits.alias("v")).select("repo", "v.rule", "v.severity", "file", "line", "col", "v.subject", "v.message", "v.suggestion", *n)
+
+
+def each(violations: DataFrame) -> DataFrame:
+    """A row for every violation, where a row stands for n equal ones."""
+    if "n" not in violations.columns:
+        return violations
+    rest = [c for c in violations.columns if c != "n"]
+    return dealt(violations, 4096).select(*rest, F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("_one")).select(*rest)
 
 
 def _violation(rows: DataFrame, rule: Column | str, severity: Column | str, subject: Column, message: Column, suggestion: str | None) -> DataFrame:
@@ -216,4 +226,6 @@ def all_violations(components: DataFrame, nodes: DataFrame, edges: DataFrame, co
     if cyclic is not None:
         parts.append(cycles(cyclic, nodes, config))
     parts += [missing_ports(nodes, components, config), concrete_constructors(components, config), unimplemented_ports(nodes, components, config)]
+    if "n" in edges.columns:
+        parts = [p if "n" in p.columns else p.withColumn("n", F.lit(1).cast("bigint")) for p in parts]
     return without_ignored(reduce(DataFrame.unionByName, parts), config)

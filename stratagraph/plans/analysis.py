@@ -59,7 +59,7 @@ class Analysis:
         """(repo, score, top pattern, counts): one row a repository."""
         depth = graph.depth_metrics(self.nodes, self.edges).select("repo", F.col("node_count").alias("component_count"), F.col("edge_count").alias("dependency_count"))
         out = depth.join(self.score, "repo", "left").join(patterns.top_pattern(self.patterns), "repo", "left")
-        return out.join(self.violations.groupBy("repo").agg(F.count("*").alias("violation_count")), "repo", "left").na.fill(0, ["violation_count"])
+        return out.join(self.violations.groupBy("repo").agg(graph.number(self.violations).alias("violation_count")), "repo", "left").na.fill(0, ["violation_count"])
 
     def failing(self, fail_on: str | None = None, ignore: list[str] | None = None) -> DataFrame:
         return rules.failing(rules.without_rules(self.violations, ignore or []), fail_on or self.config.fail_on)
@@ -68,7 +68,7 @@ class Analysis:
         return metrics.violation_kinds(self.violations)
 
     def improvements(self) -> DataFrame:
-        return forensics.improvements(self.components, self.violations)
+        return forensics.improvements(self.components, rules.each(self.violations))
 
 
 def of_files(files: DataFrame, config: Config, state: DataFrame | None = None, **how) -> Analysis:

@@ -5,16 +5,19 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from stratagraph.functions import classify as C
-from stratagraph.operators import forensics, metrics
+from stratagraph.operators import forensics, metrics, rules
 from stratagraph.operators.metrics import VIOLATION_KINDS
 from stratagraph.plans.analysis import Analysis
 from stratagraph.sources import tree
+from stratagraph.tables import dealt
 
 PARTS = {"overall": "Overall", "structural_presence": "Structural presence", "layer_conformance": "Layer conformance", "dependency_compliance": "Dependency compliance", "interface_coverage": "Interface coverage"}
+VIOLATION = ["file", "line", "col", "rule", "rule_name", "severity", "message", "suggestion", "doc_url"]
+PACKAGE = ["package", "abstractness", "instability", "distance", "zone"]
 MARKS = {"error": "E", "warning": "W", "info": "I"}
 
 
@@ -23,7 +26,7 @@ def _number(x: float | None) -> str:
 
 
 def _violations(v: DataFrame) -> Iterator[Row]:
-    return v.orderBy(F.desc("severity_ord"), "repo", "file", "line", "rule", "subject").toLocalIterator()
+    return rules.each(v).orderBy(F.desc("severity_ord"), "repo", "file", "line", "rule", "subject", "message").toLocalIterator()
 
 
 def text(a: Analysis) -> str:
@@ -61,22 +64,59 @@ def score_line(a: Analysis, as_json: bool = False) -> str:
     return json.dumps({r.repo: r.overall or 0.0 for r in rows}) if as_json else "\n".join(f"{r.repo} {r.overall or 0.0:.1f}" for r in rows)
 
 
-def json_frame(a: Analysis) -> DataFrame:
-    """(repo, report): one JSON text a repository, put together by Spark."""
-    v = a.violations.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("file", "line", "col", "rule", "rule_name", "severity", "message", "suggestion", "doc_url"))).alias("violations"))
-    p = a.package_metrics.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("package", "abstractness", "instability", "distance", "zone"))).alias("package_metrics"))
+def _head(a: Analysis) -> DataFrame:
+    """(repo, and the report's parts that are small whatever the repository)."""
     k = a.patterns.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("name", "confidence"))).alias("patterns"))
     kinds = metrics.kind_counts(a.components).groupBy("repo").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("components_by_kind"))
     layers = metrics.layer_counts(a.nodes).groupBy("repo").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "n")))).alias("components_by_layer"))
     score = F.when(F.col("overall").isNotNull(), F.struct(*PARTS)).alias("score")
     s = a.summary.select("repo", score, "component_count", "dependency_count", "top_pattern", "top_confidence")
-    for x in (v, p, k, kinds, layers):
+    for x in (k, kinds, layers):
         s = s.join(x, "repo", "left")
-    return s.select("repo", F.to_json(F.struct(*[c for c in s.columns if c != "repo"])).alias("report"))
+    return s
+
+
+def _json(rows: DataFrame) -> Column:
+    return F.to_json(F.struct(*[c for c in rows.columns if c != "repo"]))
+
+
+def json_frame(a: Analysis) -> DataFrame:
+    """(repo, report): one JSON text a repository, put together by Spark. A repository's whole report must fit a task's memory and Spark's 2 GB for a value; json_rows has no such bound."""
+    v = rules.each(a.violations).groupBy("repo").agg(F.array_sort(F.collect_list(F.struct(*VIOLATION))).alias("violations"))
+    p = a.package_metrics.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct(*PACKAGE))).alias("package_metrics"))
+    s = _head(a).join(v, "repo", "left").join(p, "repo", "left")
+    return s.select("repo", _json(s).alias("report"))
+
+
+def json_rows(a: Analysis, most: int = 256) -> DataFrame:
+    """(repo, section, place, text): the same report in rows of bounded size, put together by no one task.
+
+    The section "head" is an object, a row a repository. The rows of "package_metrics" and of "violations" are arrays,
+    which one after the other, in the order of place, are those of the report. Equal violations, neighbours in that
+    order, are up to most in a row.
+    """
+    head, p = _head(a), a.package_metrics.select("repo", *PACKAGE)
+    v = a.violations.select("repo", *VIOLATION, *([] if "n" not in a.violations.columns else ["n"]))
+    if "n" in v.columns:
+        v = dealt(v, most)
+    one = F.to_json(F.struct(*VIOLATION))
+    texts = F.array_join(F.array_repeat(one, F.col("n").cast("int")), ",") if "n" in v.columns else one
+    kinds = dict(a.violations.dtypes)
+    place = lambda **has: F.struct(*[has.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in VIOLATION])
+    return (
+        head.select("repo", F.lit("head").alias("section"), place().alias("place"), _json(head).alias("text"))
+        .union(p.select("repo", F.lit("package_metrics"), place(file=F.col("package")), F.concat(F.lit("["), F.to_json(F.struct(*PACKAGE)), F.lit("]"))))
+        .union(v.select("repo", F.lit("violations"), place(**{c: F.col(c) for c in VIOLATION}), F.concat(F.lit("["), texts, F.lit("]"))))
+    )
 
 
 def as_json(a: Analysis, pretty: bool = False) -> str:
-    rows = {r.repo: json.loads(r.report) for r in json_frame(a).collect()}
+    rows: dict[str, dict] = {}
+    for r in json_rows(a).orderBy("repo", "section", "place").toLocalIterator():
+        if r.section == "head":
+            rows.setdefault(r.repo, {}).update(json.loads(r.text))
+        else:
+            rows.setdefault(r.repo, {}).setdefault(r.section, []).extend(json.loads(r.text))
     return json.dumps(rows, indent=2 if pretty else None, sort_keys=True)
 
 

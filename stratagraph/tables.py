@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Paths of side tables that are still there, in the order they were written.
@@ -39,6 +40,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, most: int) -> DataFrame:
+    """rows that stand for n equal ones as rows that stand for most at the most, dealt evenly to tasks: few rows may stand for many. A fixed number of tasks, as what they make is far larger than what Spark would merge them by."""
+    part, left = F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {most}")), F.col("n") - F.col("_part") * most
+    parts = rows.withColumn("_part", F.explode(part)).withColumn("n", F.least(F.lit(most).cast("bigint"), left))
+    return parts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *parts.columns).drop("_part")
+
+
 def mark() -> int:
     """How many side tables there are; for discard()."""
     return len(_side)
