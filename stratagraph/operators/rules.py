@@ -161,6 +161,11 @@ def concrete_targets(edges: DataFrame, config: Config) -> DataFrame:
     return applied(edges, [_target_rule(config)])
 
 
+def infrastructure_leaks(edges: DataFrame, config: Config) -> DataFrame:
+    """L005: both kinds, from one pass over the edges; an edge that is of both gives two rows."""
+    return applied(edges, [_import_rule(config), _target_rule(config)])
+
+
 def _init_rule(config: Config) -> Rule:
     broken = F.lit(config.detect_init) & F.col("from_id").contains("<init>") & ~F.col("src_is_cross_cutting") & ~F.col("tgt_is_cross_cutting") & _true(C.violates(F.col("src_layer"), F.col("tgt_layer")))
     return Rule(broken, "L004", C.severity_of("L004", config, "warning"), F.col("from_id"), _say("An init function of the %s layer calls into %s (%s)", "src_layer", "tgt_layer", "to_id"), "Pass the dependency in instead.")

@@ -62,3 +62,12 @@ def test_queries_on_edges_read_dependencies_once(spark):
     """They read what Facts has counted, not the dependencies again for each rule."""
     for name in ("infra_leak", "diagnostics_by_file", "layer_violations", "edge_join"):
         assert not [p for p in Q.QUERIES[name](spark, str(DATA)).inputFiles() if "lineitem" in p], name
+
+
+def test_leaks_of_both_kinds(spark):
+    e = spark.createDataFrame([(x, 2) for x in ("x.io/mongo", "x.io/y")], "import_path string, n bigint").select(
+        F.lit("r").alias("repo"), F.lit("domain::<file>").alias("from_id"), F.lit("t").alias("to_id"), "import_path", F.lit("f").alias("file"), F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit("s").alias("src_name"), F.lit("MongoUsers").alias("tgt_name"),
+        F.lit("domain").alias("src_layer"), F.lit("infrastructure").alias("tgt_layer"), F.lit("ddd").alias("src_architecture_mode"), *[F.lit(False).alias(f"{x}_{y}") for x in ("src", "tgt") for y in ("is_external", "is_cross_cutting")], "n",
+    )
+    got = rules.infrastructure_leaks(e, Q.CONFIG)
+    assert rows_of(rules.each(got)) == rows_of(rules.each(rules.infrastructure_imports(e, Q.CONFIG).unionByName(rules.concrete_targets(e, Q.CONFIG)))) and rules.each(got).count() == 6
