@@ -139,6 +139,8 @@ def layer_flow(edges: DataFrame, real_only: bool = False) -> DataFrame:
 
 
 def by_file(violations: DataFrame) -> DataFrame:
-    """(repo, file, diagnostics) as an editor wants them, counted from 0."""
+    """(repo, file, diagnostics) as an editor wants them, counted from 0. Equal ones are one entry with their number n, counted before entries are put together, so that a file's array grows with what is different in it."""
     zero = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(1)) - 1, F.lit(0))
-    return violations.groupBy("repo", "file").agg(F.array_sort(F.collect_list(F.struct(zero("line").alias("line"), zero("col").alias("col"), "severity", "rule", "message"))).alias("diagnostics"))
+    entry = ["line", "col", "severity", "rule", "message"]
+    found = violations.withColumns({"line": zero("line"), "col": zero("col")}).groupBy("repo", "file", *entry).agg(number(violations).alias("n"))
+    return found.groupBy("repo", "file").agg(F.array_sort(F.collect_list(F.struct(*entry, "n"))).alias("diagnostics"))

@@ -344,7 +344,8 @@ def violations_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EDGES_} SELECT repo, file, CAST(count(*) AS BIGINT) AS n, CAST(min(greatest(line - 1, 0)) AS BIGINT) AS first_line FROM ({_ALL}) GROUP BY ALL")
 def diagnostics_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations as editor diagnostics."""
-    return metrics.by_file(rules.each(_all(Facts(spark, sf_dir)))).select("repo", "file", F.size("diagnostics").cast("bigint").alias("n"), F.col("diagnostics")[0]["line"].cast("bigint").alias("first_line"))
+    total = F.aggregate(F.col("diagnostics")["n"], F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return metrics.by_file(_all(Facts(spark, sf_dir))).select("repo", "file", total.alias("n"), F.col("diagnostics")[0]["line"].cast("bigint").alias("first_line"))
 
 
 _PE = f"""WITH RECURSIVE {C_}, {D_}, p AS (SELECT DISTINCT repo, package, string_split(package, '/') AS s FROM c),

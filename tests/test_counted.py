@@ -71,3 +71,12 @@ def test_leaks_of_both_kinds(spark):
     )
     got = rules.infrastructure_leaks(e, Q.CONFIG)
     assert rows_of(rules.each(got)) == rows_of(rules.each(rules.infrastructure_imports(e, Q.CONFIG).unionByName(rules.concrete_targets(e, Q.CONFIG)))) and rules.each(got).count() == 6
+
+
+def test_diagnostics_of_a_file(both, spark):
+    """Equal diagnostics are one entry with their number; none is lost."""
+    plain, few = (rows_of(metrics.by_file(a.violations)) for a in both)
+    assert plain == few
+    v = spark.createDataFrame([("r", "a.go", k % 3 + 1, 1, "error", "L001", "m") for k in range(3000)] + [("r", "a.go", None, 1, "error", "L002", "m"), ("r", None, 1, 1, "info", "L001", "m")], "repo string, file string, line int, col int, severity string, rule string, message string")
+    got = {r.file: [(d.line, d.rule, d.n) for d in r.diagnostics] for r in metrics.by_file(v).collect()}
+    assert got == {"a.go": [(0, "L001", 1000), (0, "L002", 1), (1, "L001", 1000), (2, "L001", 1000)], None: [(0, "L001", 1)]}
